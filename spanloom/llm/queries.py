@@ -54,7 +54,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(_crc(4) == 2, F.lit(False)))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(_crc(4) != 2)
-    model = toxicity.fit(toxicity.sample(docs.where("not held_out"), labels))
+    model = toxicity.train(toxicity.sample(docs.where("not held_out"), labels))
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .textbytes import BITS3, BITS5, features, pieces
+from .textbytes import BITS3, BITS5, features, lowered, pieces
 
 ship(__name__)
 
@@ -25,7 +25,7 @@ class Model:
     floor: float  # the score of a text without words
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 20_000) -> list[tuple[int, str]]:
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = 1200, max_chars: int = 8_000) -> list[tuple[int, str]]:
     """A bounded, repeatable sample of labelled texts: of each class the rows whose digest falls under a rate that
     leaves about ``per_class``. Texts over ``max_chars`` don't train. Bound on the driver: 2 x per_class x max_chars code points."""
     truth = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -49,14 +49,14 @@ def windows(batch, window: int):
     return i3, i5, starts, cut_at, piece[cut_at]
 
 
-def fit(rows: list[tuple[int, str]], dim: int = 8, window: int = 32, min_texts: int = 5, epochs: int = 25, passes: int = 3, rate: float = 0.1, decay: float = 2e-5, seed: int = 5) -> Model:
-    """Embeddings and softmax rows together, by Adam over word-level counts.
+def fit(rows: list[tuple[int, str]], dim: int = 4, window: int = 8, min_texts: int = 5, epochs: int = 40, passes: int = 3, rate: float = 2.0, decay: float = 1e-6, seed: int = 5) -> Model:
+    """Embeddings and softmax rows together, by gradient descent over word-level counts.
 
     A word's vector is the mean of its subword vectors, a window's the mean of its words', and the softmax is
     over the window. Labels are of whole texts, so a text trains by the window that scores highest, found anew in each pass
     (the first takes all windows); texts of class 0 train by all their windows.
     """
-    if not rows or len({y for y, _ in rows}) < 2:
+    if not rows or len({y for y, _ in rows}) < 2 or not any(t and lowered(t).strip() for _, t in rows):
         share = float(np.mean([y for y, _ in rows])) if rows else 0.0
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), window, share)
     labels = np.array([y for y, _ in rows])
@@ -84,7 +84,7 @@ def fit(rows: list[tuple[int, str]], dim: int = 8, window: int = 32, min_texts:
         done += len(batch)
     words, wins, docs_of = np.concatenate(word_ids), np.concatenate(win_starts), np.concatenate(win_docs)
     win_n = np.diff(np.append(wins, len(words)))
-    # subwords of fewer than min_texts texts say little about others: they keep a zero vector in bucket 0
+    # subwords of fewer than min_texts texts say little about others: they weigh nothing
     flat = np.concatenate(spell)
     sub_starts = np.concatenate([[0], np.cumsum([len(s) for s in spell])[:-1]])
     sub_n = np.diff(np.append(sub_starts, len(flat)))
@@ -94,29 +94,35 @@ def fit(rows: list[tuple[int, str]], dim: int = 8, window: int = 32, min_texts:
     at_each = np.repeat(sub_starts[of_word], n_each) + np.arange(n_each.sum()) - np.repeat(np.cumsum(n_each) - n_each, n_each)
     seen = np.unique(flat[at_each] * len(rows) + np.repeat(of_text, n_each)) // len(rows)
     texts_with = np.bincount(seen, minlength=BUCKETS)
-    used, compact = np.unique(np.where(texts_with[flat] >= min_texts, flat + 1, 0), return_inverse=True)
+    live = texts_with[flat] >= min_texts
+    used, compact = np.unique(flat[live], return_inverse=True)
+    word_idx = np.repeat(np.arange(len(spell)), sub_n)[live]
+    heads = np.flatnonzero(np.append(True, word_idx[1:] != word_idx[:-1])) if len(word_idx) else np.zeros(0, np.int64)
+    filled = word_idx[heads]
+    if not len(used):
+        share = float(labels.mean())
+        return Model(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))), window, share)
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (len(used), dim)).astype(np.float32)
-    live = (used > 0).astype(np.float32)[:, None]
-    emb *= live
-    soft = rng.normal(0, 0.1, dim).astype(np.float32)  # the difference of the two softmax rows
+    emb = rng.normal(0, 0.05, (dim, len(used))).astype(np.float32)
+    soft = rng.normal(0, 1, dim).astype(np.float32)  # the difference of the two softmax rows
     bias = np.float32(0)
     y = labels[docs_of].astype(np.float32)
     weight = np.ones(len(wins), np.float32)
     order = np.argsort(compact, kind="stable")
     seg = np.flatnonzero(np.append(True, compact[order][1:] != compact[order][:-1]))
-    word_of = np.repeat(np.arange(len(spell)), sub_n)[order]
+    word_of = word_idx[order]
     w_order = np.argsort(words, kind="stable")
     w_seg = np.flatnonzero(np.append(True, words[w_order][1:] != words[w_order][:-1]))
     win_of = np.repeat(np.arange(len(wins)), win_n)[w_order]
+    per_sub, per_win = (1 / sub_n).astype(np.float32), (1 / win_n).astype(np.float32)
 
     def forward():
-        wv = np.add.reduceat(emb[compact], sub_starts, axis=0) / sub_n[:, None]
-        v = np.add.reduceat(wv[words], wins, axis=0) / win_n[:, None]
-        return v, v @ soft + bias
+        wv = np.zeros((dim, len(spell)), np.float32)
+        wv[:, filled] = np.add.reduceat(emb[:, compact], heads, axis=1)
+        v = np.add.reduceat((wv * per_sub)[:, words], wins, axis=1) * per_win
+        return v, soft @ v + bias
 
-    state = [np.zeros_like(emb), np.zeros_like(emb), np.zeros_like(soft), np.zeros_like(soft), 0.0, 0.0]
-    step = 0
+    pull_emb, pull_soft, pull_bias = np.zeros_like(emb), np.zeros_like(soft), 0.0
     for turn in range(passes):
         if turn:
             _, z = forward()
@@ -131,26 +137,31 @@ def fit(rows: list[tuple[int, str]], dim: int = 8, window: int = 32, min_texts:
         pos, neg = weight[y == 1].sum(), weight[y == 0].sum()
         balance = weight * np.where(y == 1, 1.0 / pos, 3.0 / neg).astype(np.float32)
         balance /= balance.sum()
-        for _ in range(epochs):
-            step += 1
+        for epoch in range(epochs):
             v, z = forward()
-            g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-            g_soft = v.T @ g
-            g_win = (g[:, None] * soft) / win_n[:, None]
-            g_word = np.add.reduceat(g_win[win_of], w_seg, axis=0)
-            g_emb = np.add.reduceat((g_word / sub_n[:, None])[word_of], seg, axis=0) * live + decay * emb
-            scale = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for k, (p, gr) in enumerate(((emb, g_emb), (soft, g_soft))):
-                state[2 * k] = 0.9 * state[2 * k] + 0.1 * gr
-                state[2 * k + 1] = 0.999 * state[2 * k + 1] + 0.001 * gr * gr
-                p -= (scale * state[2 * k] / (np.sqrt(state[2 * k + 1]) + 1e-8)).astype(np.float32)
-            state[4] = 0.9 * state[4] + 0.1 * g.sum()
-            state[5] = 0.999 * state[5] + 0.001 * g.sum() ** 2
-            bias -= np.float32(scale * state[4] / (np.sqrt(state[5]) + 1e-8))
+            g = (balance * ((1 / (1 + np.exp(-np.clip(z, -30, 30)))) - y)).astype(np.float32)
+            g_soft = v @ g + decay * soft
+            g_win = soft[:, None] * (g * per_win)
+            g_word = np.add.reduceat(g_win[:, win_of], w_seg, axis=1) * per_sub
+            g_emb = np.add.reduceat(g_word[:, word_of], seg, axis=1) + decay * emb
+            # one step length for all subwords, so what many texts share moves first and chance moves little
+            pace = rate * (1 - 0.9 * epoch / epochs)
+            pull_emb = 0.8 * pull_emb + g_emb / (np.abs(g_emb).max() + 1e-12)
+            pull_soft = 0.8 * pull_soft + g_soft / (np.abs(g_soft).max() + 1e-12)
+            pull_bias = 0.8 * pull_bias + float(np.clip(4 * g.sum(), -1, 1))
+            emb -= np.float32(pace) * pull_emb
+            soft -= np.float32(0.1 * pace) * pull_soft
+            bias -= np.float32(pace * pull_bias)
     gain = np.zeros(BUCKETS, np.float32)
-    gain[used[used > 0] - 1] = (emb @ soft)[used > 0]
-    model = Model(gain, float(bias), window, 0.0)
-    calibrate(model, rows)
+    gain[used] = soft @ emb
+    return Model(gain, float(bias), window, 0.0)
+
+
+def train(rows: list[tuple[int, str]], **options) -> Model:
+    """Fit on three quarters of the sample, set the threshold on the rest."""
+    held = rows[::4]
+    model = fit([r for k, r in enumerate(rows) if k % 4], **options)
+    calibrate(model, held if any(y for y, _ in held) and not all(y for y, _ in held) else rows)
     return model
 
 
