@@ -157,10 +157,16 @@ def plan(patches: DataFrame, files: DataFrame, version: str, root: str = "", mod
     gate_rows = j.where(first)
     live = j.where(~missing & ~skip)
     found, errors = [], []
-    for branch in (_text, _structural, _toml):
+    # the query types are at hand on the driver, and a branch without patches would only lengthen the plan
+    types = {r[0] for r in patches.select("query.type").distinct().collect()}
+    for branch, own in ((_text, {"text"}), (_structural, {"ast-grep", "tree-sitter"}), (_toml, {"toml"})):
+        if not types & own:
+            continue
         f, e = branch(live)
         found += f
         errors += e
+    if not found:
+        raise ValueError("no patch has a known query type")
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
