@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(T.DecimalType(20, 0))
 def xxh3_64(data: pd.Series) -> pd.Series:
     """Unsigned 64-bit XXH3 of UTF-8 text; null stays null."""
     from decimal import Decimal

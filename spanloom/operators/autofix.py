@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import default_value, safe_path, strip, ticked
+from ..functions.types import struct
 from .edits import current
 
 #: Places that are never edited (fixed values).
@@ -36,7 +37,7 @@ def in_workspace(spans: DataFrame, root: str) -> DataFrame:
     return spans.where(ok)
 
 
-@F.pandas_udf("at bigint, indent string, brace_indent string, empty boolean, comma boolean")
+@F.pandas_udf(struct("at bigint, indent string, brace_indent string, empty boolean, comma boolean"))
 def insert_point(content: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
     """Where a field goes in a struct initializer: before its closing brace, found from 50 bytes before the span to 500 after."""
     rows = []

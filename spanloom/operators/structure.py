@@ -13,6 +13,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.types import struct
+
 TOKEN = re.compile(
     r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*)|(?P<raw>b?r(?P<h>#*)")|(?P<string>b?"(?:\\.|[^"\\])*")|(?P<char>b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.)|[^'\\])')"""
     r"""|(?P<life>'[A-Za-z_]\w*)|(?P<meta>\$\$\$\w*|\$\w+)|(?P<word>[A-Za-z_]\w*)|(?P<number>\d[\w.]*?(?=\.\.|[^\w.]|$))|(?P<punct>::|->|=>|==|!=|<=|>=|&&|\|\||\.\.=|\.\.\.|\.\.|.)""",
@@ -176,7 +178,7 @@ class _Nodes:
             yield n["node_id"], n["parent_id"], n["kind"], n["name"], n["trait"], b(n["start"]), b(n["end"]), b(n["body_start"]), b(n["body_end"])
 
 
-rust_nodes = F.udtf(_Nodes, returnType=f"struct<{','.join(':'.join(x.split()) for x in NODES.split(', '))}>")
+rust_nodes = F.udtf(_Nodes, returnType=struct(NODES))
 
 
 def node_table(files: DataFrame) -> DataFrame:
@@ -313,7 +315,7 @@ class _Find:
             yield len(content[:a].encode()), len(content[:b].encode()), content[a:b], caps
 
 
-ast_find = F.udtf(_Find, returnType="struct<byte_start:bigint,byte_end:bigint,text:string,captures:map<string,string>>")
+ast_find = F.udtf(_Find, returnType=struct("byte_start bigint, byte_end bigint, text string, captures map"))
 
 
 def matches(files: DataFrame, patterns: DataFrame | None = None, pattern: str | None = None) -> DataFrame:

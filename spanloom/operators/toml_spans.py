@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.types import struct
+
 
 class TomlError(ValueError):
     pass
@@ -221,7 +223,7 @@ PLAN = "byte_start bigint, byte_end bigint, new_text string, noop string, error
 def plan_edits(content: Column, query: Column, operation: Column, constraint: Column) -> Column:
     """struct of PLAN for a patch and its file, in bytes."""
 
-    @F.pandas_udf(PLAN)
+    @F.pandas_udf(struct(PLAN))
     def run(text: pd.Series, q: pd.DataFrame, o: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         for k in range(len(text)):
@@ -250,4 +252,4 @@ class _Keys:
             return
 
 
-toml_keys = F.udtf(_Keys, returnType="struct<section:string,key:string,key_start:bigint,key_end:bigint,value_start:bigint,value_end:bigint,value:string>")
+toml_keys = F.udtf(_Keys, returnType=struct("section string, key string, key_start bigint, key_end bigint, value_start bigint, value_end bigint, value string"))

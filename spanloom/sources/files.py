@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FLOW = "session_id string, direction string, method string, url string, status int, body string, tokens bigint, ts double"
 FLOW_EVENT = "headers map<string,string>, connection_id string, direction string, host string, method string, url string, status int, body string, ts double"
@@ -59,7 +58,3 @@ def flow_stream(spark: SparkSession, path: str, schema: str = FLOW_EVENT) -> Dat
     """A folder of JSON flow events as a stream; what doesn't parse comes as null and is dropped."""
     d = spark.readStream.text(path).select(F.from_json("value", schema).alias("e")).where("e is not null").select("e.*")
     return d.where(F.coalesce(F.col("direction"), F.col("method"), F.col("url")).isNotNull())
-
-
-def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
