@@ -14,7 +14,8 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: tuple[int, int] =
     Sources in code point order, null last, take the weights in turn. The budget is
     share[0]/share[1] of all sizes. A target stops at ``repeat`` times the source's size; what is
     over is shared again by weight until none is above. That level is the virtual time at which
-    queues served at their weights have given out the whole budget (``virtual_end``).
+    queues served at their weights have given out the whole budget (``virtual_end``): with sources by the time at which they
+    run out, the level of the first one that lasts, which is the highest of those that do.
     One row per source; the windows run over sources, not documents.
     """
     num, den = share
@@ -28,7 +29,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: tuple[int, int] =
         .withColumn("_w", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("_level", F.col("_left") / (F.lit(float(den)) * F.col("_w")))
     )
-    s = s.withColumn("virtual_end", F.coalesce(F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything), F.max("_ratio").over(everything)))
+    s = s.withColumn("virtual_end", F.coalesce(F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything), F.max("_ratio").over(everything)))
     target = F.least(F.lit(float(repeat)) * F.col("source_size"), F.col("weight") * F.col("virtual_end"))
     return s.select("source", "source_size", "weight", "virtual_end", target.alias("target"))
 

@@ -16,7 +16,7 @@ l AS (
   SELECT *, CAST(3 * sum(source_size) OVER () - 4 * coalesce(sum(source_size) OVER b, 0) AS DOUBLE)
             / (2.0::DOUBLE * (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))) AS level
   FROM r WINDOW b AS (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-v AS (SELECT coalesce(min(CASE WHEN level <= ratio THEN level END), max(ratio)) AS v FROM l),
+v AS (SELECT coalesce(max(CASE WHEN level <= ratio THEN level END), max(ratio)) AS v FROM l),
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * v.v) AS target FROM l, v),
 q AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,

@@ -161,7 +161,7 @@ def train(rows: list[tuple[int, str]], **options) -> Model:
     """Fit on three quarters of the sample, set the threshold on the rest."""
     held = rows[::4]
     model = fit([r for k, r in enumerate(rows) if k % 4], **options)
-    calibrate(model, held if any(y for y, _ in held) and not all(y for y, _ in held) else rows)
+    calibrate(model, held if {y for y, _ in held} == {0, 1} else rows)
     return model
 
 
@@ -182,10 +182,12 @@ def raw_scores(m: Model, texts: list) -> np.ndarray:
 
 def calibrate(m: Model, rows: list[tuple[int, str]]) -> None:
     """Shift the bias so that a score of 0.3 is the sample's threshold with the best F1."""
-    y = np.array([a for a, _ in rows])
+    y = np.array([a for a, _ in rows], np.int64)
     z = raw_scores(m, [t for _, t in rows])
     keep = np.isfinite(z)
     y, z = y[keep], z[keep]
+    if not y.any() or y.all():
+        return
     order = np.argsort(-z, kind="stable")
     hit = np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
