@@ -16,15 +16,19 @@ def exact_hits(files: DataFrame, needles: DataFrame, spread: int | None = None,
 
     needles: needle_id, search; files: path, content. The test is contains(), the cheapest; offsets are only
     computed for hits. ``spread`` deals a file table of few splits over more tasks first. Needles are
-    broadcast after a check of their number; a larger set should name its files (see engine.apply).
+    broadcast in blocks of about ``max_broadcast`` rows, after a count: one block as a rule, and a pass over the files for each.
+    Patches that name their files don't come here: they join by path (see plans.engine).
     """
     small = needles.where(F.length("search") > 0).select("needle_id", "search")
-    if small.limit(max_broadcast + 1).count() > max_broadcast:
-        raise ValueError(f"more than {max_broadcast} needles without a file: join them by path instead")
+    blocks = max(1, -(-small.count() // max_broadcast))
     src = files.repartition(spread) if spread else files
-    hit = src.join(F.broadcast(small), F.contains("content", F.col("search")))
+    out = None
+    for k in range(blocks):
+        block = small if blocks == 1 else small.where(F.pmod(F.xxhash64("needle_id", "search"), F.lit(blocks)) == k)
+        hit = src.join(F.broadcast(block), F.contains("content", F.col("search")))
+        out = hit if out is None else out.unionAll(hit)
     start = byte_start(F.col("content"), F.col("search"))
-    return hit.select("needle_id", "path", start.alias("byte_start"), (start + F.octet_length("search")).alias("byte_end"), occurrences(F.col("content"), F.col("search")).alias("n"))
+    return out.select("needle_id", "path", start.alias("byte_start"), (start + F.octet_length("search")).alias("byte_end"), occurrences(F.col("content"), F.col("search")).alias("n"))
 
 
 def status_of(n: Column) -> Column:

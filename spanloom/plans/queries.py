@@ -407,6 +407,55 @@ def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("s_suppkey", tx.hex_to_decimal(h).cast("string").alias("value"), F.length("s_name").alias("n"), F.round(tx.normalized_levenshtein(F.col("s_name"), F.col("n_name")), 6).alias("score"))
 
 
+@query("SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_sha256 FROM pages")
+def html_escapes(spark: SparkSession, sf: str) -> DataFrame:
+    return pj.read(spark, sf, "pages").select("page_id", F.sha2(tx.html_escape(F.col("html")), 256).alias("escaped_sha256"))
+
+
+@query("WITH a AS (SELECT l_orderkey AS path, CAST(l_linenumber AS BIGINT) AS byte_start, l_partkey AS byte_end FROM lineitem WHERE l_quantity > 10), b AS (SELECT l_orderkey AS path, CAST(l_linenumber AS BIGINT) AS byte_start, l_partkey AS byte_end FROM lineitem WHERE l_returnflag = 'R') SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.path = a.path AND b.byte_start = a.byte_start AND b.byte_end = a.byte_end)")
+def error_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors after an edit that weren't there before, line items standing for errors."""
+    li = pj.read(spark, sf, "lineitem")
+    spans = [F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("bigint").alias("byte_start"), F.col("l_partkey").alias("byte_end")]
+    return edits.new_errors(li.where("l_quantity > 10").select(*spans), li.where("l_returnflag = 'R'").select(*spans)).select("path", "byte_start", "byte_end")
+
+
+@query("WITH m AS (SELECT l_orderkey AS path, l_linenumber * 10 AS byte_start, l_linenumber * 10 + l_suppkey % 9 AS byte_end FROM lineitem), f AS (SELECT DISTINCT l_orderkey AS path, l_linenumber * 10 - 5 AS fs, l_linenumber * 10 + 16 AS fe, 'f' || l_linenumber AS name FROM lineitem WHERE l_linenumber % 2 = 1) SELECT m.path, CAST(byte_start AS BIGINT) AS byte_start, CAST(byte_end AS BIGINT) AS byte_end, name AS function FROM m JOIN f ON f.path = m.path AND byte_start >= fs AND byte_end <= fe")
+def match_in_function(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches within a function's span: a containment join keyed by path."""
+    li = pj.read(spark, sf, "lineitem")
+    at = F.col("l_linenumber").cast("bigint") * 10
+    m = li.select(F.col("l_orderkey").alias("path"), at.alias("byte_start"), (at + F.col("l_suppkey") % 9).alias("byte_end"))
+    f = li.where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("path"), (at - 5).alias("byte_start"), (at + 16).alias("byte_end"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("name")).distinct()
+    return structure.inside(m, f)
+
+
+@query("SELECT p_partkey, replace(replace('fn $NAME($TYPE, $$$REST)', '$$$REST', p_brand), '$NAME', p_name) AS x, replace(replace(replace('fn $NAME($TYPE, $$$REST)', '$$$REST', p_brand), '$NAME', p_name), '$TYPE', p_type) AS filled FROM part")
+def capture_template(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.lit("fn $NAME($TYPE, $$$REST)")
+    m = F.create_map(F.lit("NAME"), F.col("p_name"), F.lit("TYPE"), F.col("p_type"), F.lit("REST"), F.col("p_brand"))
+    two = F.create_map(F.lit("NAME"), F.col("p_name"), F.lit("REST"), F.col("p_brand"))
+    return pj.read(spark, sf, "part").select("p_partkey", edits.expand_captures(t, two).alias("x"), edits.expand_captures(t, m).alias("filled"))
+
+
+@query()
+def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """XXH3 of every document (no SQL function)."""
+    from ..functions.hashing import xxh3_64
+
+    return pj.files(spark, sf).select("path", xxh3_64("content").alias("xxh3"))
+
+
+@query(f"{HITS}, one AS (SELECT path, min(needle_id) AS k FROM h GROUP BY path), r AS (SELECT f.path, string_split(content, chr(10)) AS a, string_split(replace(content, b.text, '[[x]]'), chr(10)) AS b FROM one JOIN benchmark b ON b.item_id = one.k JOIN f ON f.path = one.path) SELECT path, CAST(len(a) AS BIGINT) AS before_lines, CAST(len(b) AS BIGINT) AS after_lines FROM r")
+def line_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of either side of a document's diff; the layout of a diff is not unique, what it rebuilds is."""
+    files = pj.files(spark, sf).select("path", "content")
+    first = _hits(spark, sf).groupBy("path").agg(F.min("needle_id").alias("needle_id")).join(pj.needles(spark, sf), "needle_id")
+    after = files.join(first.select("path", "search"), "path").select("path", F.replace("content", F.col("search"), F.lit("[[x]]")).alias("content"))
+    d = engine.line_diff(files, after)
+    return d.groupBy("path").agg(F.count_if(F.col("tag") != "+").alias("before_lines"), F.count_if(F.col("tag") != "-").alias("after_lines"))
+
+
 # --- the patch engine over the documents -------------------------------------------------------------------------------
 
 
@@ -441,6 +490,28 @@ def rust_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return structure.node_table(spark.createDataFrame([("a.rs", RUST)], "path string, content string"))
 
 
+@query()
+def syntax_errors(spark: SparkSession, sf: str) -> DataFrame:
+    broken = spark.createDataFrame([("a.rs", RUST + "fn x() { (\n"), ("b.rs", 'let s = "open')], "path string, content string")
+    return structure.errors(structure.node_table(broken))
+
+
+@query()
+def structural_targets(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = structure.node_table(spark.createDataFrame([("a.rs", RUST)], "path string, content string"))
+    out = None
+    for dsl in ("fn main", "fn Point::len", "struct Point", "impl fmt::Display for Point", "const /^MAX/", "static NAME", "use std"):
+        one = structure.locate(nodes, dsl).select(F.lit(dsl).alias("target"), "path", "byte_start", "byte_end")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def match_arms(spark: SparkSession, sf: str) -> DataFrame:
+    f = spark.createDataFrame([("a.rs", RUST)], "path string, content string")
+    return structure.match_arms(f, structure.node_table(f), "0")
+
+
 @query()
 def ast_pattern(spark: SparkSession, sf: str) -> DataFrame:
     return structure.matches(spark.createDataFrame([("a.rs", RUST)], "path string, content string"), pattern="foo($A, $B)")
