@@ -61,11 +61,6 @@ def running_starts(lengths: Column, block: int = 64) -> Column:
     return let(lengths, with_arr)
 
 
-def hot_safe_lookup(df: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Equi-join whose shuffled sides are both plain exchanges, so that AQE may split a hot key."""
-    return df.join(small, on, how)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
     """Distributed union-find over edges of long ids: (node, component), the smallest id reachable.
 

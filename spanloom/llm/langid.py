@@ -41,12 +41,12 @@ class Model:
     prior: int  # the commonest language
 
 
-def sample(docs: DataFrame, per_lang: int = 600, max_chars: int = 20_000) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, per_lang: int = 600, max_chars: int = 20_000, max_langs: int = 400) -> list[tuple[str, str]]:
     """A bounded, repeatable sample of labelled texts: of each language the rows whose digest falls
     under a rate that leaves about ``per_lang`` of them. Texts over ``max_chars`` don't train.
-    Bound on the driver: languages x per_lang x max_chars code points."""
+    Bound on the driver: max_langs (the commonest) x per_lang x max_chars code points."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    n = rows.groupBy("lang").count()
+    n = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
     digest = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(7)), F.lit(1_000_000))
     picked = rows.join(F.broadcast(n.select("lang", (F.lit(per_lang) / F.col("count")).alias("rate"))), "lang").where(digest < F.col("rate") * 1_000_000)
     return [(r.lang, r.text) for r in picked.select("lang", "text").orderBy("lang", "doc_id", "text").collect()]
