@@ -15,6 +15,7 @@ from ..operators import edits as E
 from ..operators import structure, toml_spans
 from ..operators.locate import DEFAULT_THRESHOLD, fuzzy_best
 from ..operators.structure import Unsupported
+from ..session import cut
 
 RESULT = ["ord", "patch_id", "status", "file", "reason", "error_kind", "match_count"]
 EDIT = ["ord", "path", "byte_start", "byte_end", "new_text", "verify_kind", "verify_text", "verify_hash", "sentinel"]
@@ -211,12 +212,15 @@ def exit_code(results: DataFrame, command: str = "apply") -> int:
 
 
 def run_configs(configs: list[DataFrame], files: DataFrame, version: str, root: str = "") -> tuple[DataFrame, DataFrame]:
-    """Configs one after the other, each on the files the ones before left; (results, files)."""
+    """Configs one after the other, each on the files the ones before left; (results, files).
+
+    A plan reads its files several times, so the lineage is cut after each config: plans would nest else.
+    """
     out = None
     for c in configs:
         p = plan(c, files, version, root)
-        files = p["files"].select("path", "content")
-        out = p["results"] if out is None else out.unionByName(p["results"])
+        results, files = cut(p["results"]), cut(p["files"].select("path", "content"))
+        out = results if out is None else out.unionByName(results)
     return out, files
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "spanloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,3 +28,11 @@ def session(name: str = "spanloom", master: str | None = None, **conf: str) -> S
 def local(cpus: int | str | None = None, **conf: str) -> SparkSession:
     n = cpus or os.environ.get("BENCH_CPUS", "8")
     return session(master=f"local[{n}]", **({"spark.sql.shuffle.partitions": str(n), "spark.driver.memory": "8g", "spark.ui.enabled": "false"} | conf))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the folder that the session names; only where it names none, in a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
+    return df.checkpoint()
