@@ -309,3 +309,18 @@ def test_line_rules(spark):
     got = quality.rate(docs(spark, [(1, clean, None, None), (2, clean + "\nClick here to subscribe", None, None), (3, " ".join(f"w{k}&&&" for k in range(60)), None, None), (4, clean[:40] + "\n" + menu, None, None)]), keep_text=True)
     by = {r.doc_id: r for r in got.collect()}
     assert by[1].kept and by[2].kept and by[2].clean_text == clean and not by[3].kept and not by[4].kept
+
+
+def test_word_starts_by_brute_force(spark):
+    """The shingles for candidates: 12 characters from each word start, and from each character of scripts without blanks."""
+    dense = [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+
+    def kind(c):
+        return "blank" if c in " \t\n\x0b\x0c\r" else "dense" if any(a <= ord(c) <= b for a, b in dense) else "word"
+
+    pool = "ab~!\x01\x7f\x80\x85 é෿฀໿ༀ日한　ﬀ\U0001f600\U00020000 \t\x0b\r"
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(200)]
+    want = [[t[i : i + 12] for i in range(len(t)) if kind(t[i]) == "dense" or kind(t[i]) == "word" and (i == 0 or kind(t[i - 1]) != "word")] for t in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.regexp_extract_all("t", F.lit(linededup.START), F.lit(1)).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == want
