@@ -234,6 +234,17 @@ def test_line_recall(spark):
     assert sum(r.n_dropped for r in got) >= 0.95 * want and all(r.n_dropped == 0 for r in got if r.doc_id % 2 == 0)
 
 
+def test_line_recall_of_one_long_token(spark):
+    """Lines without a blank that differ near the start only, exact Jaccard 0.92."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        t = "".join(rng.choice("abcdefgh0123/") for _ in range(100))
+        rows += [(2 * k, t, "en", "a"), (2 * k + 1, t[:3] + "Z" + t[4:], "en", "a")]
+    got = {r.doc_id: r.n_dropped for r in linededup.line_report(docs(spark, rows)).collect()}
+    assert sum(got.values()) >= 57 and all(got[2 * k] == 0 for k in range(60))
+
+
 def test_licenses(spark, odd, none):
     mit = "Copyright (c) 2020 Somebody\n\n" + licenses.TEXTS["MIT"].upper().replace(",", " ;")
     rows = [(1, mit, None, None), (2, "Prose.\nReleased under the MIT Licence!\nlicensed under CC BY-NC 4.0.", None, None), (3, "Prose about licensing, MIT included.", None, None), (4, "This work is licensed under the GNU General Public License, version 3.", None, None)]
