@@ -245,6 +245,43 @@ def test_line_recall_of_one_long_token(spark):
     assert sum(got.values()) >= 57 and all(got[2 * k] == 0 for k in range(60))
 
 
+def test_line_dedup_in_hot_buckets(spark):
+    """Families of a common template: buckets whose first line is unlike most of their other lines."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    head = word(160)
+    rows = []
+    for k in range(150):
+        t = head + word(24)
+        rows += [(2 * k, t, "en", "a"), (2 * k + 1, t[:-1] + "Z", "en", "a")]
+    lines = linededup.lines(docs(spark, rows))
+    shared = linededup.meetings(linededup.signatures(lines)).cache()
+    assert shared.agg(F.max("members")).first()[0] > linededup.PAIRED
+    got = {r.doc_id: r.n_dropped for r in linededup.line_report(docs(spark, rows)).collect()}
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for _, t, _, _ in rows]
+    jac = lambda a, b: len(a & b) / len(a | b)
+    assert max(jac(sets[0], sets[2 * k]) for k in range(1, 150)) < 0.8 < min(jac(sets[2 * k], sets[2 * k + 1]) for k in range(150))
+    assert all(got[2 * k] == 0 and got[2 * k + 1] == 1 for k in range(150))
+
+
+def test_hot_pairs_by_brute_force(spark):
+    """No pair at the threshold is lost, with every line its own component."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        t = [rng.choice("abcd") for _ in range(rng.randrange(4, 60))]
+        for _ in range(6):
+            texts.append("".join(t))
+            t[rng.randrange(len(t))] = rng.choice("abcdxyz")
+    texts = sorted(set(texts))
+    sets = [{t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    rest = spark.createDataFrame([(i, 0, 99, i, i > 0) for i in range(len(texts))], "line_id long, key long, members long, comp long, stray boolean")
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_id long, line string")
+    pairs = linededup.hot_pairs(rest, lines, 0.8)
+    assert want and {(r.a, r.b) for r in linededup.verified(pairs, lines, 0.8).collect()} == want
+
+
 def test_licenses(spark, odd, none):
     mit = "Copyright (c) 2020 Somebody\n\n" + licenses.TEXTS["MIT"].upper().replace(",", " ;")
     rows = [(1, mit, None, None), (2, "Prose.\nReleased under the MIT Licence!\nlicensed under CC BY-NC 4.0.", None, None), (3, "Prose about licensing, MIT included.", None, None), (4, "This work is licensed under the GNU General Public License, version 3.", None, None)]
