@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-import tempfile
+from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,23 +14,36 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ship(module: str) -> None:
-    """Send a module's functions to the Python workers by value, so that executors need no install."""
+    """Send a module's functions and classes to the Python workers by value, so that executors need no install.
+
+    That holds for what a function's closure carries; broadcasts are pickled by reference, so they carry plain tuples, dicts and arrays only.
+    """
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def slices(batches, rows: int = 512) -> Iterator:
+    """Arrow batches in slices of a few rows, so that what Python holds of a batch at a time is small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, in the folder that the session names.
+    """Cut the lineage with a reliable checkpoint, in the folder that the session names (spark.checkpoint.dir).
 
-    Only where the session names none (tests), a temporary one is set.
+    A local master without one gets a folder of the warehouse, which all its tasks share; on a cluster it is an error, as
+    a folder of the driver alone would lose recovery.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanloom-checkpoint-"))
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, slices
 from .textbytes import BITS3, BITS5, features, pieces
 
 ship(__name__)
@@ -127,14 +127,23 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     return out
 
 
-def predict(m: Model, texts: list, penalty: float = 12.0) -> list[tuple[str, float, list]]:
+def predict(m: Model, texts: list, penalty: float = 12.0, held: int = 1 << 20) -> list[tuple[str, float, list]]:
     """(language, score, spans) of each text; spans: (first word, end word, language), words as
     stretches of letters. The language has most letters; the score is its share of them times how
-    sure its words are, by the margin per word over the next language."""
+    sure its words are, by the margin per word over the next language.
+
+    The scores of mixed texts wait for one Viterbi over several, but at most ``held`` numbers (and one text more)."""
     langs = m.langs
     parts: list[list] = [[] for _ in texts]
     waiting: list[tuple[int, int, np.ndarray]] = []
-    for batch in pieces(texts):
+
+    def label() -> None:
+        for (row, k, _), path in zip(waiting, viterbi([w[2] for w in waiting], penalty), strict=True):
+            parts[row][k][3] = path
+        waiting.clear()
+
+    size_held = 0
+    for batch in pieces(texts, max(1 << 12, (1 << 21) // max(16, len(langs)))):
         e, piece, letters = word_scores(m, batch)
         cuts = np.searchsorted(piece, np.arange(len(batch) + 1))
         for k, (row, _) in enumerate(batch):
@@ -144,9 +153,12 @@ def predict(m: Model, texts: list, penalty: float = 12.0) -> list[tuple[str, flo
                 part = [own.sum(0), len(own), size, np.full(len(own), best) if not mixed else None]
                 parts[row].append(part)
                 if mixed:
-                    waiting.append((row, len(parts[row]) - 1, own))
-    for (row, k, _), path in zip(waiting, viterbi([w[2] for w in waiting], penalty), strict=True):
-        parts[row][k][3] = path
+                    waiting.append((row, len(parts[row]) - 1, own.copy()))  # not a view that keeps the whole piece
+                    size_held += own.size
+                    if size_held > held:
+                        label()
+                        size_held = 0
+    label()
     out = []
     for text, own in zip(texts, parts, strict=True):
         if not text or not langs:
@@ -174,9 +186,9 @@ def detect(docs: DataFrame, model: Model, penalty: float = 12.0, keep_text: bool
     Null or letterless text: ``und``, score 0, no spans. Every other text gets a learned language;
     text in no learned script gets the likeliest by score. Empty table: no rows. Columns of docs
     that clash with the new ones are replaced. Texts of any length are read whole, in pieces of
-    1 MB that each start a path of their own.
+    128 KB (less with many languages) that each start a path of their own; a batch goes in slices of a few rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(astuple(model))
     cols = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
     if "text" not in cols:
         raise ValueError("docs has no column text")
@@ -187,8 +199,8 @@ def detect(docs: DataFrame, model: Model, penalty: float = 12.0, keep_text: bool
     spans_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
-        m = held.value
-        for b in batches:
+        m = Model(*held.value)
+        for b in slices(batches):
             text = b.column("text")
             has = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_pylist()
             got = predict(m, [t if ok else None for t, ok in zip(text.to_pylist(), has, strict=True)], penalty)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, ship
+from .common import components, cut, ship, slices
 
 ship(__name__)
 
@@ -44,15 +44,15 @@ def fingerprint(data: bytes | None, size: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """docs without text + fp (long). Null, empty or wordless text: 0."""
-    cols = [c for c in docs.columns if c not in ("text", "fp", "_bytes")]
-    src = docs.select(*cols, F.encode("text", "UTF-8").alias("_bytes"))
+    cols = [c for c in docs.columns if c not in ("text", "fp")]
+    src = docs.select(*cols, "text")
 
     def run(batches):
-        for b in batches:
-            got = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, size) for x in b.column("_bytes")]
+        for b in slices(batches):
+            got = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, size) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in cols] + [pa.array(np.array(got, np.uint64).view(np.int64))], names=[*cols, "fp"])
 
-    return src.mapInArrow(run, src.drop("_bytes").schema.add("fp", "long"))
+    return src.mapInArrow(run, docs.select(cols).schema.add("fp", "long"))
 
 
 def pivots(extra: int = 24, seed: int = 11) -> np.ndarray:
@@ -125,7 +125,7 @@ def near_components(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
     component is the smallest non-null id in reach, null if there is none. Wordless texts have fingerprint zero and link
     like any other. Empty table: no rows. Repeated rows stay. Clashing columns are replaced.
     """
-    base = docs.select([c for c in docs.columns if c not in ("fp", "component_id", "_bytes")])
+    base = docs.select([c for c in docs.columns if c not in ("fp", "component_id")])
     rows = cut(fingerprints(base, size))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     comp = components(near_edges(classes.select("fp"), radius))

@@ -18,9 +18,9 @@ def lowered(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE)
 
 
-def pieces(texts, limit: int = 1 << 20):
+def pieces(texts, limit: int = 1 << 17):
     """Yield lists of (row, bytes) of about ``limit`` bytes; a longer text is cut at a separator
-    (or, without one, at a code point's start), so memory does not depend on a text's length."""
+    (or, without one, at a code point's start), so the arrays made of a list don't depend on a text's length."""
     batch, size = [], 0
     for row, text in enumerate(texts):
         if not text:

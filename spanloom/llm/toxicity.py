@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, slices
 from .textbytes import BITS3, BITS5, features, lowered, pieces
 
 ship(__name__)
@@ -201,14 +201,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs without text + score (0 to 1, the highest window's) and predicted (1 from 0.3 on).
 
     Null, empty or letterless text: the floor score, not toxic. Whole texts count, in windows of words; pieces
-    of 1 MB bound the memory. Empty table: no rows. Repeated rows each get a score. Clashing columns are replaced.
+    of 128 KB bound the memory. Empty table: no rows. Repeated rows each get a score. Clashing columns are replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(astuple(model))
     cols = [c for c in docs.columns if c not in ("text", "score", "predicted")]
 
     def run(batches):
-        m = held.value
-        for b in batches:
+        m = Model(*held.value)
+        for b in slices(batches):
             z = raw_scores(m, b.column("text").to_pylist())
             p = np.where(np.isfinite(z), 1 / (1 + np.exp(-np.clip(z, -30, 30))), min(m.floor, 0.29))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(p, pa.float64()), pa.array((p >= 0.3).astype(np.int32))], names=[*cols, "score", "predicted"])
