@@ -47,6 +47,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fence(docs: DataFrame, *own: str) -> tuple:
+    """docs with every column but ``own`` under a name of ours, so that no name of the caller clashes with one that an operator adds; and
+    a function that selects docs' columns again, by their names, from what the operator returns."""
+    inner = [n if n in own else f"c{k}" for k, n in enumerate(docs.columns)]
+    return docs.toDF(*inner), lambda df: df.select(*[F.col(i).alias(n) for i, n in zip(inner, docs.columns, strict=True)])
+
+
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """r1, r2 and at: a row's identity, 128 bits of its doc_id and text, and its place in the order of rows.
+
+    The order is by doc_id; ids that are no integers, and null, come after by their hash and their text's. Rows with one doc_id
+    go by the hash of their text. Rows equal in both are copies of one row.
+    """
+    name, text = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null")), F.col("text")
+    late = F.lit(str(2**63)).cast("decimal(20,0)") + F.shiftrightunsigned(F.xxhash64(F.lit("at"), name, text), 1).cast("decimal(20,0)")
+    own = F.col("doc_id").cast("decimal(20,0)") if dict(docs.dtypes)["doc_id"] in INTEGRAL else F.lit(None).cast("decimal(20,0)")
+    place = F.coalesce(own, late.cast("decimal(20,0)")) * F.lit(10**8).cast("decimal(9,0)") + F.pmod(F.xxhash64(text), F.lit(10**8)).cast("decimal(8,0)")
+    return [F.xxhash64(name, text).alias("r1"), F.xxhash64(text, F.lit("row"), name).alias("r2"), place.cast("decimal(28,0)").alias("at")]
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it any number of times inside ``body``."""
     return F.transform(F.array(value), body)[0]

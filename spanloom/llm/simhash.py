@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, ship, slices
+from .common import components, cut, fence, row_key, ship, slices
 
 ship(__name__)
 
@@ -118,6 +118,12 @@ def near_edges(fps: DataFrame, radius: int = 2, small: int = 64, extra: int = 24
     return edges.unionAll(star)
 
 
+def _labels(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, component: each fingerprint and the smallest one (as a long) that links lead to."""
+    comp = components(near_edges(fps, radius)).withColumnRenamed("node", "fp")
+    return fps.join(comp, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_components(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     """docs without text + fp + component_id, the smallest doc_id reachable over links of ``radius`` bits.
 
@@ -128,20 +134,27 @@ def near_components(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFram
     base = docs.select([c for c in docs.columns if c not in ("fp", "component_id")])
     rows = cut(fingerprints(base, size))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    comp = components(near_edges(classes.select("fp"), radius))
-    named = classes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = classes.join(_labels(classes.select("fp"), radius), "fp")
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
     label = named.join(ids, "component").select("fp", "component_id")
     return rows.join(label, "fp")
 
 
 def one_per_group(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id names the component.
+    """docs with one document of each group of near duplicates: the first in the order of rows (by doc_id, see row_key).
 
-    Of rows that share that doc_id one stays. Groups without any doc_id keep one row.
+    Rows are known by id and text, so ids of any type, repeated or null, are fine: rows with one id and unlike texts are documents of their
+    own. Of rows equal in both one stays. All wordless texts are one group. Empty table: no rows. Columns of any name stay as they are.
     """
-    keep = cut(near_components(docs.select("doc_id", "text"), size, radius).where("doc_id <=> component_id").select("doc_id"))
-    ids = keep.distinct()
-    out = docs.join(ids.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # only where ids repeat do texts have to meet once more
-    return out if keep.count() == ids.count() else out.dropDuplicates(["doc_id"])
+    inner, back = fence(docs, "doc_id", "text")
+    keys = row_key(inner)
+    rows = cut(fingerprints(inner.select("text", *keys), size))
+    classes = cut(rows.groupBy("fp").agg(F.min("at").alias("first")))
+    named = classes.join(_labels(classes.select("fp"), radius), "fp")
+    stays = cut(named.groupBy("component").agg(F.min("first").alias("at")).join(named.select("component", "fp"), "component").select("fp", "at"))
+    kept = cut(rows.join(stays, ["fp", "at"], "left_semi").groupBy("r1", "r2").agg(F.count("*").alias("copies")))
+    out = inner.select("*", *keys[:2])
+    one = out.join(kept.where("copies = 1"), ["r1", "r2"], "left_semi")
+    if not kept.where("copies > 1").isEmpty():
+        one = one.unionByName(out.join(kept.where("copies > 1"), ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]))
+    return back(one)
