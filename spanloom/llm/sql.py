@@ -17,14 +17,24 @@ l AS (
             / (2.0::DOUBLE * (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))) AS level
   FROM r WINDOW b AS (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT coalesce(max(CASE WHEN level <= ratio THEN level END), max(ratio)) AS v FROM l),
-t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * v.v) AS target FROM l, v),
+t AS (SELECT source, source_size, weight, least(2.0::DOUBLE * source_size, weight * v.v) AS target FROM l, v),
 q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.key, d.source, d.size, t.source_size, t.target, t.weight,
+         row_number() OVER w AS seat,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WINDOW w AS (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size)),
+u AS (
+  SELECT *, greatest(0, least(size, CAST(floor(target) AS BIGINT) - begins)) AS served
+  FROM (SELECT q.*, turn, before + turn * source_size AS begins FROM q, (VALUES (0), (1)) AS n(turn))),
+x AS (
+  SELECT *, 0 AS part, CASE WHEN served > 0 THEN served ELSE size END AS words, 0 AS skipped FROM u
+  UNION ALL SELECT *, 1 AS part, size - served AS words, served AS skipped FROM u WHERE served > 0 AND served < size),
+p AS (
+  SELECT *, sum(words) OVER (ORDER BY (begins + skipped + words) * 10 // weight, source ASC NULLS LAST, turn, key, doc_id, size, part, seat ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words AS position
+  FROM x)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size)) AS BIGINT) AS taken
-FROM q
+       CAST(sum(greatest(0, least(words, (SELECT CAST(sum(source_size) AS BIGINT) * 3 // 2 FROM s) - position))) AS BIGINT) AS taken
+FROM p GROUP BY source, seat, doc_id, size, source_size, target
 """
 
 DECONTAMINATE = rf"""
