@@ -34,7 +34,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     both = F.sort_array(F.concat("base", "added"))
-    return got.select("doc_id", *pii.counts("base"), F.sha2(pii.digest_form(F.col("base")), 256).alias("base_sha256"), pii.digest_form(both).alias("spans"))
+    n_base, n_added = F.size("base").cast("long"), F.size("added").cast("long")
+    return got.select(
+        "doc_id", *pii.counts("base"), F.sha2(pii.digest_form(F.col("base")), 256).alias("base_sha256"), pii.digest_form(both).alias("spans"), n_added.alias("n_added"), (n_base + n_added).alias("n_spans")
+    )
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
