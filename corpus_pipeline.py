@@ -1,36 +1,44 @@
-"""documents -> training mix: language ID, line dedup, near-dedup, decontamination, mixing."""
+"""documents -> training mix: language ID, line dedup, near-dedup, decontamination, mixing.
+
+Every stage takes a table with doc_id, text, lang, source and any further columns, whose names may clash with what operators add; all but the last
+return the same columns. Nulls in any column, empty and very long texts, repeated rows or ids and empty tables are fine; what becomes of
+them each function says.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import decontaminate, langid, linededup, mixing, simhash
-from spanloom.llm.common import cut, table
+from spanloom.llm.common import cut, fence, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those with no text or no letter go."""
-    model = langid.fit(langid.sample(docs))
-    return langid.detect(docs, model, keep_text=True).where(f"lang_pred <> '{langid.UND}'").select(docs.columns)
+    """Documents in a language; those with no text or no letter go. Without any labelled text to learn from all go."""
+    inner, back = fence(docs, "doc_id", "text", "lang")
+    model = langid.fit(langid.sample(inner))
+    return back(langid.detect(inner, model, keep_text=True).where(f"lang_pred <> '{langid.UND}'"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each line once in the corpus, near copies of lines included."""
+    """Each line once in the corpus, near copies of lines included; documents that lose every line go, null and blank texts stay.
+    Of rows equal in id and text one stays."""
     return linededup.dedup_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.one_per_group(docs)
+    """One document of each group of near duplicates, the first by id: five-word shingles, fingerprints within two bits. Wordless texts are one group."""
+    return simhash.one_per_group(docs, size=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(docs.columns)
+    """Documents that hold no window of the benchmark; null and empty texts hold none."""
+    inner, back = fence(docs, "text")
+    return back(decontaminate.decontaminate(inner, table(spark, sf_dir, "benchmark")).where("not contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document, what the mix takes of it and where."""
+    """Per document, what the mix takes of it and where. Null text: size 0; null source: a source of its own."""
     return mixing.mixed_documents(docs)
 
 
