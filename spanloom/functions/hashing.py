@@ -15,3 +15,17 @@ def xxh3_64(data: pd.Series) -> pd.Series:
     import xxhash
 
     return data.map(lambda x: None if x is None else Decimal(xxhash.xxh3_64_intdigest(x.encode() if isinstance(x, str) else bytes(x))))
+
+
+@F.pandas_udf(T.ArrayType(T.DecimalType(20, 0)))
+def xxh3_64_each(data: pd.Series) -> pd.Series:
+    """The same of each text of an array; null stays null."""
+    from decimal import Decimal
+
+    import xxhash
+
+    return data.map(lambda xs: None if xs is None else [None if x is None else Decimal(xxhash.xxh3_64_intdigest(x.encode())) for x in xs])
+
+
+#: Marked so that the optimizer neither repeats it nor moves it into a lambda, where no Python function can run.
+xxh3_64_each = xxh3_64_each.asNondeterministic()

@@ -56,8 +56,8 @@ def error_context(content: Column, start: Column, end: Column, reach: int = 20)
 
 
 def align_newline(text: Column, current: Column) -> Column:
-    """text with or without a final line break, as the replaced text has it."""
-    bare = F.regexp_replace(text, r"\n+\z", "")
+    """text with or without a final line break, as the replaced text has it; one break is put or taken, not more."""
+    bare = F.regexp_replace(text, r"\n\z", "")
     return F.when(F.endswith(current, F.lit("\n")) & ~F.endswith(text, F.lit("\n")), F.concat(text, F.lit("\n"))).when(~F.endswith(current, F.lit("\n")), bare).otherwise(text)
 
 

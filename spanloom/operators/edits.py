@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import xxh3_64
+from ..functions.hashing import xxh3_64, xxh3_64_each
 
 HASH_FROM = 1024  # bytes; a longer text is verified by its hash
 
@@ -26,19 +26,6 @@ def with_hashes(edits: DataFrame) -> DataFrame:
     return edits.withColumn("verify_hash", F.when((F.col("verify_kind") == "hash") & F.col("verify_hash").isNull(), xxh3_64(F.col("expected"))).otherwise(F.col("verify_hash")))
 
 
-def judge(edits: DataFrame) -> DataFrame:
-    """edits joined to content (path, ord, byte_start, byte_end, new_text, verify_kind, verify_text, verify_hash, content) ->
-    + before, state: apply, already, bad-range, mismatch. A span that already reads as wanted passes whatever it should have read."""
-    size = F.octet_length("content")
-    bad = (F.col("byte_start") > F.col("byte_end")) | (F.col("byte_end") > size) | (F.col("byte_start") < 0)
-    d = edits.withColumn("before", F.when(~bad, current(F.col("content"), F.col("byte_start"), F.col("byte_end"))))
-    needs = (F.col("verify_kind") == "hash") & ~bad & (F.col("before") != F.col("new_text"))
-    d = d.withColumn("_hash", xxh3_64(F.when(needs, F.col("before"))))
-    ok = F.when(F.col("verify_kind") == "exact", F.col("before") == F.col("verify_text")).when(F.col("verify_kind") == "hash", F.col("_hash") == F.col("verify_hash")).otherwise(F.lit(True))
-    state = F.when(bad, "bad-range").when(F.col("before") == F.col("new_text"), "already").when(~F.coalesce(ok, F.lit(False)), "mismatch").otherwise("apply")
-    return d.withColumn("state", state).drop("_hash")
-
-
 def overlaps(judged: DataFrame) -> DataFrame:
     """+ overlap: whether any two edits of the file overlap. From the end up: the lower one must end where the higher starts."""
     down = Window.partitionBy("path").orderBy(F.desc("byte_start"), "ord")
@@ -46,14 +33,46 @@ def overlaps(judged: DataFrame) -> DataFrame:
     return d.withColumn("overlap", F.max("_over").over(Window.partitionBy("path"))).drop("_over")
 
 
-def file_verdict(judged: DataFrame) -> DataFrame:
-    """+ failed: an error in one edit of a file fails all its edits."""
-    one = F.max(F.col("state").isin("bad-range", "mismatch")).over(Window.partitionBy("path"))
-    return overlaps(judged).withColumn("failed", one | F.col("overlap"))
+def verdicts(files: DataFrame, edits: DataFrame, how: str = "inner") -> DataFrame:
+    """path, content, edits (array, from the end up, each with its state: apply, already, bad-range, mismatch), overlap, failed: a row per file.
+
+    Edits are gathered by path before the files are joined, so that a file's text goes through the one shuffle once, whatever its edits,
+    and no window carries it. A span that already reads as wanted passes whatever it should have read. An error in
+    one edit of a file, or two that overlap, fails all its edits. how "left": files without edits too.
+    """
+    own = [c for c in edits.columns if c not in ("path", "ord")]
+    per = edits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct((-F.col("byte_start")).alias("k"), "ord", *own))).alias("es"))
+    d = files.select("path", "content").join(per, "path", how)
+    size = F.octet_length("content")
+
+    def looked(raw: Column) -> Column:
+        def one(x: Column) -> Column:
+            bad = (x["byte_start"] > x["byte_end"]) | (x["byte_end"] > size) | (x["byte_start"] < 0)
+            return F.struct(x.alias("e"), bad.alias("bad"), F.when(~bad, F.decode(F.substring(raw, (x["byte_start"] + 1).cast("int"), (x["byte_end"] - x["byte_start"]).cast("int")), "UTF-8")).alias("before"))
+
+        return F.transform("es", one)
+
+    # the text's bytes are made once, not for each edit
+    d = d.withColumn("seen", F.transform(F.array(F.encode("content", "UTF-8")), looked)[0])
+    hashed = lambda x: (x["e"]["verify_kind"] == "hash") & ~x["bad"] & (x["before"] != x["e"]["new_text"])
+    d = d.withColumn("hashes", xxh3_64_each(F.when(F.exists("seen", hashed), F.transform("seen", lambda x: F.when(hashed(x), x["before"])))))
+
+    def judged(x: Column, h: Column) -> Column:
+        e = x["e"]
+        ok = F.when(e["verify_kind"] == "exact", x["before"] == e["verify_text"]).when(e["verify_kind"] == "hash", h == e["verify_hash"]).otherwise(F.lit(True))
+        state = F.when(x["bad"], "bad-range").when(x["before"] == e["new_text"], "already").when(~F.coalesce(ok, F.lit(False)), "mismatch").otherwise("apply")
+        return F.struct(e["ord"].alias("ord"), *[e[c].alias(c) for c in own], state.alias("state"))
 
+    # hashes go along as an argument: a Python function can't stand inside of a lambda
+    d = d.select("path", "content", F.zip_with("seen", F.coalesce("hashes", F.array().cast("array<decimal(20,0)>")), judged).alias("edits"))
+    pair = F.zip_with(F.slice("edits", F.lit(1), F.size("edits") - 1), F.slice("edits", F.lit(2), F.size("edits") - 1), lambda x, y: y["byte_end"] > x["byte_start"])
+    d = d.withColumn("overlap", F.when(F.size("edits") > 1, F.exists(pair, lambda x: x)).otherwise(F.lit(False)))
+    return d.withColumn("failed", F.col("overlap") | F.exists("edits", lambda x: x["state"].isin("bad-range", "mismatch")))
 
-def outcome(d: DataFrame) -> DataFrame:
-    """+ status (Applied, AlreadyApplied, Failed), bytes_changed (the new text's length, as reported), error_kind."""
+
+def outcomes(verdict: DataFrame) -> DataFrame:
+    """A row per edit: its columns, status (Applied, AlreadyApplied, Failed), bytes_changed (the new text's length, as reported), error_kind."""
+    d = verdict.select("path", "overlap", "failed", F.explode("edits").alias("e")).select("path", "e.*", "overlap", "failed")
     status = F.when(F.col("failed"), "Failed").when(F.col("state") == "already", "AlreadyApplied").otherwise("Applied")
     kind = F.when(~F.col("failed"), F.lit(None).cast("string")).when(F.col("state") == "mismatch", "BeforeTextMismatch").when(F.col("state") == "bad-range", "InvalidByteRange").when(F.col("overlap"), "Overlap").otherwise("FileFailed")
     return d.withColumn("status", status).withColumn("bytes_changed", F.when(status == "Applied", F.octet_length("new_text")).otherwise(0).cast("bigint")).withColumn("error_kind", kind)
@@ -79,9 +98,18 @@ def patched(files: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def run_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits -> outcomes with content at hand; the one shuffle is on path."""
-    d = edits.join(files.select("path", "content"), "path")
-    return outcome(file_verdict(judge(d)))
+    """edits -> outcomes; the one shuffle of texts is on path."""
+    return outcomes(verdicts(files, edits))
+
+
+def applied(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """path, content, changed: the files with their edits verified and applied, in one join. Of equal starts the config order holds, so
+    the later text comes first."""
+    v = verdicts(files, edits, "left")
+    todo = F.when(~F.col("failed"), F.filter("edits", lambda x: x["state"] == "apply"))
+    v = v.select("path", "content", F.transform(todo, lambda x: F.struct(x["byte_start"].alias("s"), x["byte_end"].alias("e"), x["new_text"].alias("text"))).alias("todo"))
+    changed = F.coalesce(F.size("todo") > 0, F.lit(False)) & F.col("todo").isNotNull()
+    return v.select("path", F.when(changed, spliced(F.col("content"), F.col("todo"))).otherwise(F.col("content")).alias("content"), changed.alias("changed"))
 
 
 def new_errors(after: DataFrame, before: DataFrame) -> DataFrame:
@@ -91,7 +119,7 @@ def new_errors(after: DataFrame, before: DataFrame) -> DataFrame:
 
 def expand_captures(template: Column, captures: Column) -> Column:
     """A template with $NAME and $$$NAME replaced from a map; variadic names first, longer names first, so that no
-    placeholder is cut short by another."""
+    placeholder is cut short by another (a deliberate order: names taken as they come could cut one another short)."""
     entries = F.reverse(F.array_sort(F.transform(F.map_entries(captures), lambda x: F.struct(F.length(x["key"]).alias("n"), x["key"].alias("key"), x["value"].alias("value")))))
     many = F.aggregate(entries, template, lambda acc, x: F.replace(acc, F.concat(F.lit("$$$"), x["key"]), x["value"]))
     return F.aggregate(entries, many, lambda acc, x: F.replace(acc, F.concat(F.lit("$"), x["key"]), x["value"]))

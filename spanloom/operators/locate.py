@@ -11,17 +11,27 @@ DEFAULT_THRESHOLD = 0.85
 MAX_EXPANSION = 200
 
 
-def exact_hits(files: DataFrame, needles: DataFrame, spread: int | None = None, max_broadcast: int = 100_000) -> DataFrame:
+def dealt(files: DataFrame) -> DataFrame:
+    """files over as many tasks as there are cores, if a plain scan comes in fewer splits; a table of many splits, and one that was
+    shuffled already, stay as they are."""
+    plan = files._jdf.queryExecution().executedPlan()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or plan.execute().getNumPartitions() >= cores:
+        return files
+    return files.repartition(cores)
+
+
+def exact_hits(files: DataFrame, needles: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
     """needle x file rows where search stands in content, with byte span and count.
 
     needles: needle_id, search; files: path, content. The test is contains(), the cheapest; offsets are only
-    computed for hits. ``spread`` deals a file table of few splits over more tasks first. Needles are
+    computed for hits. A file table of fewer splits than cores is dealt out first. Needles are
     broadcast in blocks of about ``max_broadcast`` rows, after a count: one block as a rule, and a pass over the files for each.
     Patches that name their files don't come here: they join by path (see plans.engine).
     """
     small = needles.where(F.length("search") > 0).select("needle_id", "search")
     blocks = max(1, -(-small.count() // max_broadcast))
-    src = files.repartition(spread) if spread else files
+    src = dealt(files)
     out = None
     for k in range(blocks):
         block = small if blocks == 1 else small.where(F.pmod(F.xxhash64("needle_id", "search"), F.lit(blocks)) == k)

@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.types import struct
+from ..functions.arrow import byte_offsets, per_row
+from .edits import applied, expand_captures
 
 TOKEN = re.compile(
     r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*)|(?P<raw>b?r(?P<h>#*)")|(?P<string>b?"(?:\\.|[^"\\])*")|(?P<char>b?'(?:\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.)|[^'\\])')"""
@@ -168,25 +169,18 @@ def nodes(text: str) -> list[dict]:
 NODES = "node_id int, parent_id int, kind string, name string, trait string, byte_start bigint, byte_end bigint, body_start bigint, body_end bigint"
 
 
-class _Nodes:
-    def eval(self, content: str):
-        if content is None:
-            return
-        raw = content if content.isascii() else None
-        b = (lambda i: i) if raw is not None else (lambda i: None if i is None else len(content[:i].encode()))
-        for n in nodes(content):
-            yield n["node_id"], n["parent_id"], n["kind"], n["name"], n["trait"], b(n["start"]), b(n["end"]), b(n["body_start"]), b(n["body_end"])
-
-
-rust_nodes = F.udtf(_Nodes, returnType=struct(NODES))
+def _file_nodes(path: str, content: str):
+    if content is None:
+        return
+    at = byte_offsets(content)
+    b = lambda i: None if i is None else at[i]
+    for n in nodes(content):
+        yield n["node_id"], n["parent_id"], n["kind"], n["name"], n["trait"], b(n["start"]), b(n["end"]), b(n["body_start"]), b(n["body_end"])
 
 
 def node_table(files: DataFrame) -> DataFrame:
     """path + a row per node."""
-    spark = files.sparkSession
-    spark.udtf.register("spanloom_rust_nodes", rust_nodes)
-    files.select("path", "content").createOrReplaceTempView("spanloom_files")
-    return spark.sql("SELECT path, n.* FROM spanloom_files, LATERAL spanloom_rust_nodes(content) n")
+    return per_row(files.select("path", "content"), ["path"], NODES, _file_nodes)
 
 
 def target(dsl: str) -> dict:
@@ -216,20 +210,35 @@ def target(dsl: str) -> dict:
     return {"kind": KINDS[word], "name": rest}
 
 
+_TARGET = ("kind", "name", "name_re", "trait", "impl_re")
+
+
+def locate_all(node_rows: DataFrame, dsls: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """target + the nodes of each of many targets, anywhere in the file, by one join whatever their number. wanted: path, target rows, if not
+    every target is looked for in every file."""
+    spark = node_rows.sparkSession
+    rows = [(d, *(target(d).get(c) for c in _TARGET)) for d in dict.fromkeys(dsls)]
+    asked = spark.createDataFrame(rows, "target string, kind string, " + ", ".join(f"_{c} string" for c in _TARGET[1:]))
+    owners = node_rows.where("kind = 'impl_item'").select("path", F.col("node_id").alias("parent_id"), F.col("name").alias("_owner"))
+    found = node_rows.join(owners, ["path", "parent_id"], "left") if any(r[5] for r in rows) else node_rows.withColumn("_owner", F.lit(None).cast("string"))
+    found = found.join(F.broadcast(asked), "kind") if wanted is None else wanted.join(F.broadcast(asked), "target").join(found, ["path", "kind"])
+    ok = (F.col("_name").isNull() | (F.col("name") == F.col("_name"))) & (F.col("_trait").isNull() | (F.col("trait") == F.col("_trait")))
+    for pattern, column in (("_name_re", "name"), ("_impl_re", "_owner")):
+        ok = ok & (F.col(pattern).isNull() | F.coalesce(F.rlike(F.col(column), F.col(pattern)), F.lit(False)))
+    return found.where(ok).select("target", *node_rows.columns)
+
+
 def locate(node_rows: DataFrame, dsl: str) -> DataFrame:
     """Nodes of a target, anywhere in the file."""
-    t = target(dsl)
-    d = node_rows.where(F.col("kind") == t["kind"])
-    if "name" in t:
-        d = d.where(F.col("name") == t["name"])
-    if "name_re" in t:
-        d = d.where(F.col("name").rlike(t["name_re"]))
-    if "trait" in t:
-        d = d.where(F.col("trait") == t["trait"])
-    if "impl_re" in t:
-        owner = node_rows.where((F.col("kind") == "impl_item") & F.col("name").rlike(t["impl_re"])).select("path", F.col("node_id").alias("parent_id"))
-        d = d.join(owner, ["path", "parent_id"], "left_semi")
-    return d
+    return locate_all(node_rows, [dsl]).drop("target")
+
+
+def with_field(node_rows: DataFrame, kind: str, field: str) -> DataFrame:
+    """Nodes of a kind that have a field: name, trait or body, what the reader knows."""
+    columns = {"name": "name", "trait": "trait", "body": "body_start"}
+    if field not in columns:
+        raise Unsupported(f"field {field}")
+    return node_rows.where((F.col("kind") == kind) & F.col(columns[field]).isNotNull())
 
 
 def errors(node_rows: DataFrame) -> DataFrame:
@@ -307,25 +316,74 @@ def find_pattern(text: str, pattern: str) -> list[tuple[int, int, dict[str, str]
     return out
 
 
-class _Find:
-    def eval(self, content: str, pattern: str):
-        if content is None or not pattern:
-            return
-        for a, b, caps in find_pattern(content, pattern):
-            yield len(content[:a].encode()), len(content[:b].encode()), content[a:b], caps
-
-
-ast_find = F.udtf(_Find, returnType=struct("byte_start bigint, byte_end bigint, text string, captures map"))
+def _file_matches(path: str, content: str, pattern: str):
+    if content is None or not pattern:
+        return
+    at = byte_offsets(content)
+    for x, y, caps in find_pattern(content, pattern):
+        yield at[x], at[y], content[x:y], list(caps.items())
 
 
 def matches(files: DataFrame, patterns: DataFrame | None = None, pattern: str | None = None) -> DataFrame:
-    """path (and pattern) + a row per match. With patterns: path, pattern rows, joined to their files by path."""
-    spark = files.sparkSession
-    spark.udtf.register("spanloom_ast_find", ast_find)
+    """path, pattern + a row per match. With patterns: path, pattern rows, joined to their files by path."""
     d = files.select("path", "content")
     d = d.withColumn("pattern", F.lit(pattern)) if patterns is None else d.join(patterns.select("path", "pattern").distinct(), "path")
-    d.createOrReplaceTempView("spanloom_searched")
-    return spark.sql("SELECT path, pattern, n.* FROM spanloom_searched, LATERAL spanloom_ast_find(content, pattern) n")
+    return per_row(d.select("path", "content", "pattern"), ["path", "pattern"], "byte_start bigint, byte_end bigint, text string, captures map", _file_matches)
+
+
+def has_match(files: DataFrame, pattern: str) -> DataFrame:
+    """path, has_match of every file."""
+    hit = matches(files, pattern=pattern).select("path").distinct().withColumn("_hit", F.lit(True))
+    return files.select("path").join(hit, "path", "left").select("path", F.coalesce("_hit", F.lit(False)).alias("has_match"))
+
+
+def find_in_function(files: DataFrame, pattern: str, function: str) -> DataFrame:
+    """Matches within the functions of a name, + function."""
+    return inside(matches(files, pattern=pattern), locate(node_table(files), f"fn {function}"))
+
+
+def outermost(found: DataFrame) -> DataFrame:
+    """Matches that don't begin within an earlier one of the file."""
+    w = Window.partitionBy("path").orderBy("byte_start", F.desc("byte_end")).rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("_to", F.max("byte_end").over(w)).where("_to is null or byte_start >= _to").drop("_to")
+
+
+def _as_edits(d: DataFrame, new_text: Column, expected: Column) -> DataFrame:
+    return d.select("path", F.col("byte_start").alias("ord"), "byte_start", "byte_end", new_text.alias("new_text"), F.lit("exact").alias("verify_kind"), expected.alias("verify_text"), F.lit(None).cast("decimal(20,0)").alias("verify_hash"))
+
+
+def replace_matches(found: DataFrame, template: str) -> DataFrame:
+    """An edit per outermost match: the template with its captures, checked against the matched text."""
+    d = outermost(found)
+    return _as_edits(d, expand_captures(F.lit(template), F.col("captures")), F.col("text"))
+
+
+def replace_capture(found: DataFrame, name: str, new_text: str) -> DataFrame:
+    """An edit per match that has the capture: its first occurrence in the match is replaced."""
+    d = outermost(found).withColumn("_c", F.col("captures")[name]).where("_c is not null")
+    start, end = capture_span(F.col("byte_start"), F.col("text"), F.col("_c"))
+    return _as_edits(d.withColumn("_s", start).withColumn("_e", end).select("path", F.col("_s").alias("byte_start"), F.col("_e").alias("byte_end"), "_c"), F.lit(new_text), F.col("_c"))
+
+
+def find_and_replace(files: DataFrame, pattern: str, template: str) -> DataFrame:
+    """path, content, changed: every outermost match of every file replaced."""
+    return applied(files, replace_matches(matches(files, pattern=pattern), template))
+
+
+def validated(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """path, content, changed, rejected: files with their edits applied where that brings no syntax error (by brackets and
+    open strings) that wasn't there; else the file stays as it is."""
+    after = applied(files, edits).where("changed")
+
+    def count(d: DataFrame, name: str) -> DataFrame:
+        return errors(node_table(d)).groupBy("path").agg(F.count("*").alias(name))
+
+    both = after.withColumnRenamed("content", "new").select("path", "new").join(count(after, "n_after"), "path", "left").join(count(files.join(after.select("path"), "path", "left_semi"), "n_before"), "path", "left")
+    both = both.withColumn("worse", F.coalesce("n_after", F.lit(0)) > F.coalesce("n_before", F.lit(0)))
+    out = files.select("path", "content").join(both.select("path", "new", "worse"), "path", "left")
+    worse = F.coalesce("worse", F.lit(False))
+    fine = F.col("new").isNotNull() & ~worse
+    return out.select("path", F.when(fine, F.col("new")).otherwise(F.col("content")).alias("content"), fine.alias("changed"), worse.alias("rejected"))
 
 
 def inside(found: DataFrame, functions: DataFrame) -> DataFrame:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: extension -> (rule, pattern) of lint checks by line (fixed values).
 LINT = {
-    "rs": [("unwrap", r"\.unwrap\(\)"), ("todo", r"\b(TODO|FIXME)\b")],
-    "py": [("bare-except", r"^\s*except\s*:"), ("todo", r"\b(TODO|FIXME)\b")],
-    "sh": [("backticks", r"`[^`]+`")],
-    "*": [("trailing-space", r"[ \t]+$"), ("tab", r"\t"), ("long-line", r"^.{121,}$")],
+    "rs": [("bare unwrap()", r"unwrap\(\)"), ("unfinished code", r"todo!|unimplemented!")],
+    "py": [("wildcard import", r"import \*")],
+    "sh": [("eval usage", r"eval ")],
+    "bash": [("eval usage", r"eval ")],
 }
 
 
@@ -39,9 +39,9 @@ def stats(files: DataFrame) -> DataFrame:
 
 
 def lint(lines: DataFrame, rules: dict | None = None) -> DataFrame:
-    """path, line_no (from 1), rule: one pass over the lines, every rule of the file's extension."""
-    ext = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
-    found = [F.when((F.lit(e == "*") | (ext == e)) & F.col("line").rlike(p), F.lit(name)) for e, rs in (rules or LINT).items() for name, p in rs]
+    """path, line_no (from 1), rule: one pass over the lines, every rule of the file's extension; a file of another extension has no checks."""
+    ext = F.substring_index("path", ".", -1)
+    found = [F.when((ext == e) & F.col("line").rlike(p), F.lit(name)) for e, rs in (rules or LINT).items() for name, p in rs]
     hits = F.filter(F.array(*found), lambda x: x.isNotNull())
     return lines.select("path", (F.col("line_no") + 1).alias("line_no"), F.explode(hits).alias("rule"))
 
@@ -68,16 +68,25 @@ def over_budget(files: DataFrame, budget_mb: int) -> DataFrame:
     return d.where("freed < excess").select("path", "length", "modified", F.col("freed").cast("bigint").alias("freed"))
 
 
+def binary_label(line: Column) -> Column:
+    """The binary that a heading names: without its path in brackets, the words before a unit test's source, folder and extension."""
+    name = line
+    for gone in (r"^[ \t]+Running ", r" \(.*\)$", r"^unittests ", r"^tests/", r"\.rs$", r"/mod$"):
+        name = F.regexp_replace(name, gone, "")
+    return name
+
+
 def log_summary(lines: DataFrame) -> DataFrame:
-    """Per test binary: passed, failed, from its result lines; lines: line_no, line of one log."""
-    name = F.regexp_extract("line", r"^\s*(?:Running|Doc-tests)\s+(\S+(?:\s\([^)]*\))?)", 1)
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    if "log" in lines.columns:
-        w = Window.partitionBy("log").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    d = lines.where(F.col("line").rlike(r"^\s*(Running|Doc-tests) |^test result:")).withColumn("binary", F.last(F.nullif(name, F.lit("")), ignorenulls=True).over(w))
-    d = d.where(F.startswith("line", F.lit("test result:")))
-    n = lambda what: F.regexp_extract("line", rf"(\d+) {what}", 1).cast("bigint")
-    return d.groupBy("binary").agg(F.sum(n("passed")).alias("passed"), F.sum(n("failed")).alias("failed"))
+    """Per log and test binary: passed, failed, failed_tests (names, in order), from its result lines; lines: line_no, line, and log if there are several."""
+    by = ["log"] if "log" in lines.columns else []
+    d = lines.where(F.col("line").rlike(r"^     Running |^test result: |\.\.\. FAILED$"))
+    head = F.when(F.startswith("line", F.lit("     Running ")), binary_label(F.col("line")))
+    w = Window.partitionBy(*by).orderBy("line_no")
+    d = d.withColumn("binary", F.last(head, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    n = lambda what: F.when(F.startswith("line", F.lit("test result: ")), F.regexp_extract("line", rf"(\d+) {what};", 1).try_cast("bigint"))
+    failed = F.when(F.col("line").rlike(r"\.\.\. FAILED$"), F.struct("line_no", F.get(F.split(F.btrim("line"), "[ \t]+"), F.lit(1)).alias("name")))
+    g = d.groupBy(*by, "binary").agg(F.sum(n("passed")).alias("passed"), F.sum(n("failed")).alias("failed"), F.sort_array(F.collect_list(failed)).alias("f"))
+    return g.where("passed is not null or failed is not null").select(*by, "binary", F.coalesce("passed", F.lit(0)).cast("bigint").alias("passed"), F.coalesce("failed", F.lit(0)).cast("bigint").alias("failed"), F.transform("f", lambda x: x["name"]).alias("failed_tests"))
 
 
 def log_totals(summary: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import byte_offsets, per_row
 from ..functions.types import struct
 
 
@@ -239,17 +240,18 @@ def plan_edits(content: Column, query: Column, operation: Column, constraint: Co
     return run(content, query, operation, constraint)
 
 
-class _Keys:
-    def eval(self, content: str):
-        if content is None:
-            return
-        try:
-            for s in scan(content):
-                for path, k, v in keys(content, s):
-                    b = lambda i: len(content[:i].encode())
-                    yield ".".join(s.path), ".".join(path), b(k[0]), b(k[1]), b(v[0]), b(v[1]), content[v[0] : v[1]]
-        except TomlError:
-            return
+def _file_keys(path: str, content: str):
+    if content is None:
+        return
+    at = byte_offsets(content)
+    try:
+        for s in scan(content):
+            for name, k, v in keys(content, s):
+                yield ".".join(s.path), ".".join(name), at[k[0]], at[k[1]], at[v[0]], at[v[1]], content[v[0] : v[1]]
+    except TomlError:
+        return
 
 
-toml_keys = F.udtf(_Keys, returnType=struct("section string, key string, key_start bigint, key_end bigint, value_start bigint, value_end bigint, value string"))
+def key_table(files: DataFrame) -> DataFrame:
+    """path + a row per key and value; what is no TOML has none."""
+    return per_row(files.select("path", "content"), ["path"], "section string, key string, key_start bigint, key_end bigint, value_start bigint, value_end bigint, value string", _file_keys)

@@ -6,13 +6,18 @@ a run returns results and patched files, and the input stays as it is. The joins
 
 from __future__ import annotations
 
+import difflib
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import semver
+from ..functions.arrow import per_row
 from ..functions.text import align_newline, byte_start, hex_to_decimal, occurrences
 from ..operators import edits as E
 from ..operators import structure, toml_spans
+from ..operators.guards import FORBIDDEN, guard, resolve
 from ..operators.locate import DEFAULT_THRESHOLD, fuzzy_best
 from ..operators.structure import Unsupported
 from ..session import cut
@@ -93,21 +98,21 @@ def _text(d: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
 def _structural(d: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     """ast-grep patterns and tree-sitter targets -> spans -> uniqueness -> edit."""
     d = d.where("query.type in ('ast-grep', 'tree-sitter')")
-    spans, bad = [], []
-    wanted = d.where("query.type = 'tree-sitter'").select("query.pattern").distinct()
-    dsl = [r[0] for r in wanted.collect()]
-    if dsl:
-        nodes = structure.node_table(d.where("query.type = 'tree-sitter'").select("path", "content").distinct())
-        for p in dsl:
-            try:
-                spans.append(structure.locate(nodes, p).select("path", F.lit(p).alias("pattern"), "byte_start", "byte_end"))
-            except Unsupported as e:
-                bad.append((p, str(e)))
+    tree = d.where("query.type = 'tree-sitter'")
+    bad, good = [], []
+    for (p,) in tree.select("query.pattern").distinct().collect():
+        try:
+            structure.target(p)
+            good.append(p)
+        except Unsupported as e:
+            bad.append((p, str(e)))
     grep = d.where("query.type = 'ast-grep'").select("path", "content", "query.pattern").distinct()
-    spans.append(structure.matches(grep.select("path", "content").distinct(), grep.select("path", "pattern")).select("path", "pattern", "byte_start", "byte_end"))
-    every = spans[0]
-    for s in spans[1:]:
-        every = every.unionByName(s)
+    every = structure.matches(grep.select("path", "content").distinct(), grep.select("path", "pattern")).select("path", "pattern", "byte_start", "byte_end")
+    if good:
+        # one pass of the reader over the files that have such patches, one join to their targets
+        nodes = structure.node_table(tree.select("path", "content").dropDuplicates(["path"]))
+        found = structure.locate_all(nodes, good, tree.select("path", F.col("query.pattern").alias("target")).distinct())
+        every = every.unionByName(found.select("path", F.col("target").alias("pattern"), "byte_start", "byte_end"))
     per = every.groupBy("path", "pattern").agg(F.count("*").alias("_n"), F.min("byte_start").alias("byte_start"), F.min("byte_end").alias("byte_end"))
     unsupported = F.col("query.pattern").isin(*[p for p, _ in bad]) & (F.col("query.type") == "tree-sitter") if bad else F.lit(False)
     j = d.where(~unsupported).withColumn("pattern", F.col("query.pattern")).join(per, ["path", "pattern"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
@@ -147,8 +152,6 @@ def plan(patches: DataFrame, files: DataFrame, version: str, root: str = "", mod
 
     mode "apply": a version skip comes before a missing file; "check": a missing file comes first.
     """
-    from ..operators.guards import resolve
-
     d = gated(patches, version).withColumn("path", resolve(F.col("file"), root, F.col("workspace_relative")) if root else F.col("file"))
     j = d.join(files.select("path", "content"), "path", "left")
     missing = F.col("content").isNull()
@@ -187,7 +190,7 @@ def plan(patches: DataFrame, files: DataFrame, version: str, root: str = "", mod
         .unionByName(gate_rows.select("ord", F.when(F.col("gate") == "skipped", "SkippedVersion").otherwise("Failed").alias("status"), F.col("gate_reason").alias("reason"), F.when(F.col("gate") != "skipped", "Version").alias("error_kind"), n.alias("match_count")))
     )
     results = patches.select("ord", F.col("id").alias("patch_id"), "file").join(status, "ord").select(*RESULT)
-    return {"results": results.orderBy("ord"), "edits": ran, "files": E.patched(files, ran)}
+    return {"results": results.orderBy("ord"), "edits": ran, "files": E.applied(files, real)}
 
 
 def cli_status(results: DataFrame) -> DataFrame:
@@ -224,24 +227,28 @@ def run_configs(configs: list[DataFrame], files: DataFrame, version: str, root:
     return out, files
 
 
-def write_files(files: DataFrame, folder: str) -> None:
-    """Changed files as a table under a folder, by the writer's commit protocol."""
-    files.where("changed").select("path", "content").write.mode("overwrite").parquet(folder)
+def write_files(files: DataFrame, folder: str, root: str | None = None, forbidden: list[str] | None = None) -> None:
+    """Changed files as a table under a folder, by the writer's commit protocol.
+
+    With a root the guard is asked before anything is written: a path outside of it, or in a forbidden folder (those of
+    guards.FORBIDDEN unless others are given, the home folder and relative ones resolved), raises and nothing is written.
+    """
+    changed = files.where("changed").select("path", "content")
+    if root is not None:
+        folders = [os.path.join(root, os.path.expanduser(f)) for f in (FORBIDDEN if forbidden is None else forbidden)]
+        bad = changed.select("path", guard(F.col("path"), root, folders).alias("verdict")).where("verdict <> 'ok'").first()
+        if bad is not None:
+            raise PermissionError(f"{bad.path}: {bad.verdict}")
+    changed.write.mode("overwrite").parquet(folder)
 
 
 def line_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, line_no, tag (' ', '-', '+'), line of changed files: a longest common subsequence per file."""
 
-    class Diff:
-        def eval(self, a: str, b: str):
-            import difflib
-
-            for n, x in enumerate(difflib.ndiff((a or "").splitlines(), (b or "").splitlines())):
-                if x[0] in " -+":
-                    yield n, x[0], x[2:]
+    def diff(path: str, a: str, b: str):
+        for n, x in enumerate(difflib.ndiff((a or "").splitlines(), (b or "").splitlines())):
+            if x[0] in " -+":
+                yield n, x[0], x[2:]
 
-    spark = before.sparkSession
-    spark.udtf.register("spanloom_diff", F.udtf(Diff, returnType="line_no int, tag string, line string"))
     d = before.select("path", F.col("content").alias("a")).join(after.select("path", F.col("content").alias("b")), "path").where("a <> b")
-    d.createOrReplaceTempView("spanloom_changed")
-    return spark.sql("SELECT path, n.* FROM spanloom_changed, LATERAL spanloom_diff(a, b) n")
+    return per_row(d, ["path"], "line_no int, tag string, line string", diff)

@@ -19,13 +19,8 @@ def needles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("search"))
 
 
-def spread(spark: SparkSession) -> int:
-    """Tasks for a table that comes in one split: as many as cores."""
-    return spark.sparkContext.defaultParallelism
-
-
 def warehouse(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """orders as commits by year, line items as block events, parts as blocks (every seventh has no events)."""
+    """orders as commits by year, line items as block events, parts as blocks."""
     o, li, p = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
     year = F.year("o_orderdate").cast("bigint")
     sha = F.concat(F.lit("c"), F.col("o_orderkey").cast("string"))
@@ -45,7 +40,7 @@ def warehouse(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     ev = li.withColumn("n", number)
     hash_ = F.sha2(F.col("l_partkey").cast("string"), 256)
     hunk_id = F.concat(file_id, F.lit("#"), F.col("n").cast("string"))
-    events = ev.where("l_partkey % 7 <> 0").join(o.select(F.col("o_orderkey").alias("l_orderkey"), year.alias("range_id")), "l_orderkey").select(
+    events = ev.join(o.select(F.col("o_orderkey").alias("l_orderkey"), year.alias("range_id")), "l_orderkey").select(
         (F.col("l_orderkey") * 100_000_000 + F.col("l_suppkey") * 100 + F.col("n")).alias("event_id"), "range_id", csha.alias("commit_sha"), file_id.alias("file_patch_id"), hunk_id.alias("hunk_id"), F.lit(1).cast("bigint").alias("block_index"), op.alias("op"),
         F.col("l_linenumber").cast("bigint").alias("start_old"), F.col("l_linenumber").cast("bigint").alias("start_new"), F.col("l_quantity").cast("bigint").alias("line_count"), hash_.alias("block_hash"), F.concat(F.when(op == "add", "+").otherwise("-"), F.col("l_partkey").cast("string")).alias("block_diff"),
     )
@@ -75,7 +70,7 @@ hunks AS (SELECT file_patch_id || '#' || n AS hunk_id, file_patch_id, n AS hunk_
 block_events AS (
   SELECT l_orderkey * 100000000 + l_suppkey * 100 + n AS event_id, year(o_orderdate) AS range_id, 'c' || l_orderkey AS commit_sha, file_patch_id, file_patch_id || '#' || n AS hunk_id, 1 AS block_index, op,
          l_linenumber AS start_old, l_linenumber AS start_new, q AS line_count, sha256(CAST(l_partkey AS VARCHAR)) AS block_hash, (CASE WHEN op = 'add' THEN '+' ELSE '-' END) || l_partkey AS block_diff
-  FROM li JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey % 7 <> 0),
+  FROM li JOIN orders ON o_orderkey = l_orderkey),
 code_blocks AS (SELECT sha256(CAST(p_partkey AS VARCHAR)) AS block_hash, p_name AS content, 1 AS line_count, strlen(p_name) AS byte_count FROM part),
 commit_stats AS (
   SELECT 'c' || l_orderkey AS commit_sha, count(DISTINCT l_suppkey) AS files_changed, count(*) AS hunk_count, sum(CASE WHEN op = 'add' THEN q ELSE 0 END) AS line_additions,

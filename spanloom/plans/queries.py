@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    return locate.exact_hits(pj.files(spark, sf), pj.needles(spark, sf), pj.spread(spark))
+    return locate.exact_hits(pj.files(spark, sf), pj.needles(spark, sf))
 
 
 @query(f"{HITS} SELECT needle_id, path, CAST(s AS BIGINT) AS byte_start, CAST(s + strlen(search) AS BIGINT) AS byte_end, CAST((length(content) - length(replace(content, search, ''))) / length(search) AS BIGINT) AS n FROM h")
@@ -62,34 +62,18 @@ def line_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fuzzy(spark: SparkSession, sf: str, expansion: int) -> DataFrame:
-    """Lines of a document, one letter changed, searched again in the document (ASCII only, as the oracle's distance counts bytes)."""
-    d = pj.files(spark, sf).where("doc_id % 2 = 0").where(~F.col("content").rlike(r"[^\x00-\x7F]")).where(F.length("content") <= 4000)
-    line = F.get(F.split("content", "\n"), F.lit(1))
-    d = d.withColumn("search", F.regexp_replace(line, "e", "E")).where(F.length("search").between(20, 300))
+    """The second line of every document, its letters e in capitals, searched again in the document. Without SQL: DuckDB's distance counts bytes."""
+    d = pj.files(spark, sf).withColumn("search", F.replace(F.get(F.split("content", "\n"), F.lit(1)), F.lit("e"), F.lit("E"))).where("search <> ''")
     got = locate.fuzzy_best(d.select("path", "search", "content", F.lit(0.85).alias("threshold"), F.lit(expansion).alias("expansion")), ["path"])
     return got.select("path", "byte_start", "byte_end", F.round("score", 6).alias("score"), "window_lines", "start_line")
 
 
-def _fuzzy_sql(expansion: int) -> str:
-    return f"""
-WITH {FILES},
-d AS (SELECT path, replace(string_split(content, chr(10))[2], 'e', 'E') AS search, string_split(content, chr(10)) AS ls FROM f
-      WHERE doc_id % 2 = 0 AND NOT regexp_matches(content, '[^\\x00-\\x7F]') AND length(content) <= 4000 AND length(string_split(content, chr(10))[2]) BETWEEN 20 AND 300),
-w AS (SELECT *, unnest(range(1, least(1 + {expansion}, len(ls)) + 1)) AS n FROM d),
-s AS (SELECT *, unnest(range(0, len(ls) - n + 1)) AS i FROM w),
-t AS (SELECT *, array_to_string(ls[i + 1 : i + n], chr(10)) AS got FROM s),
-k AS (SELECT *, 1.0::DOUBLE - levenshtein(search, got)::DOUBLE / greatest(length(search), length(got)) AS score FROM t WHERE abs(length(search) - length(got)) <= 0.16 * greatest(length(search), length(got))),
-r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, n, i) AS rn FROM k WHERE score >= 0.85::DOUBLE)
-SELECT path, CAST(strlen(array_to_string(ls[1 : i], chr(10))) + CASE WHEN i > 0 THEN 1 ELSE 0 END AS BIGINT) AS byte_start, CAST(strlen(array_to_string(ls[1 : i + n], chr(10))) AS BIGINT) AS byte_end,
-       round(score, 6) AS score, n AS window_lines, i AS start_line FROM r WHERE rn = 1"""
-
-
-@query(_fuzzy_sql(0))
+@query()
 def fuzzy_fixed_best(spark: SparkSession, sf: str) -> DataFrame:
     return _fuzzy(spark, sf, 0)
 
 
-@query(_fuzzy_sql(2))
+@query()
 def fuzzy_elastic_best(spark: SparkSession, sf: str) -> DataFrame:
     return _fuzzy(spark, sf, 2)
 
@@ -118,7 +102,7 @@ def edit_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{EDITS}, r AS (SELECT path, list({{'a': search, 'b': '[[' || needle_id || ']]'}} ORDER BY needle_id) AS rs FROM v WHERE NOT bad GROUP BY path) SELECT f.path, sha256(CASE WHEN r.path IS NULL THEN content ELSE list_reduce(list_prepend({{'a': content, 'b': ''}}, rs), lambda x, y: {{'a': replace(x.a, y.a, y.b), 'b': ''}}).a END) AS content_sha256, r.path IS NOT NULL AS changed FROM f LEFT JOIN r ON r.path = f.path")
 def edit_apply_batch(spark: SparkSession, sf: str) -> DataFrame:
     files, e = _edits(spark, sf)
-    return edits.patched(files, edits.run_edits(files, e)).select("path", F.sha2("content", 256).alias("content_sha256"), "changed")
+    return edits.applied(files, e).select("path", F.sha2("content", 256).alias("content_sha256"), "changed")
 
 
 @query(f"{EDITS} SELECT CASE WHEN bad THEN 'Failed' ELSE 'Applied' END AS status, count(*) AS n FROM v GROUP BY 1")
@@ -205,7 +189,7 @@ def block_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def _diff_patches(spark: SparkSession, sf: str) -> DataFrame:
     """One commit per order: its line items as a diff, returned ones deleted, the rest added or context by quantity."""
-    li = pj.read(spark, sf, "lineitem").where("l_orderkey % 4 = 0")
+    li = pj.read(spark, sf, "lineitem")
     sign = F.when(F.col("l_returnflag") == "R", "-").when(F.col("l_quantity").cast("bigint") % 2 == 0, "+").otherwise(" ")
     row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.concat(sign, F.col("l_partkey").cast("string")).alias("t"))
     g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("r"))
@@ -219,7 +203,7 @@ def _diff_patches(spark: SparkSession, sf: str) -> DataFrame:
 WITH t AS (
   SELECT l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN '-' WHEN CAST(l_quantity AS BIGINT) % 2 = 0 THEN '+' ELSE ' ' END AS sign, CAST(l_partkey AS VARCHAR) AS txt,
          row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS i
-  FROM lineitem WHERE l_orderkey % 4 = 0),
+  FROM lineitem),
 c AS (SELECT *, 10 + coalesce(sum(CASE WHEN sign <> '+' THEN 1 ELSE 0 END) OVER b, 0) AS so, 20 + coalesce(sum(CASE WHEN sign <> '-' THEN 1 ELSE 0 END) OVER b, 0) AS sn,
              CASE WHEN sign <> ' ' AND sign IS DISTINCT FROM lag(sign) OVER (PARTITION BY k ORDER BY i) THEN 1 ELSE 0 END AS st
       FROM t WINDOW b AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -233,7 +217,7 @@ def diff_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN '-' WHEN CAST(l_quantity AS BIGINT) % 2 = 0 THEN '+' ELSE ' ' END AS sign, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS i FROM lineitem WHERE l_orderkey % 4 = 0),
+WITH t AS (SELECT l_orderkey AS k, CASE WHEN l_returnflag = 'R' THEN '-' WHEN CAST(l_quantity AS BIGINT) % 2 = 0 THEN '+' ELSE ' ' END AS sign, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS i FROM lineitem),
 c AS (SELECT *, CASE WHEN sign <> ' ' AND sign IS DISTINCT FROM lag(sign) OVER (PARTITION BY k ORDER BY i) THEN sign END AS st FROM t)
 SELECT CAST(k AS VARCHAR) AS commit_sha, CAST(1 AS BIGINT) AS files_changed, CAST(1 AS BIGINT) AS hunk_count, CAST(count_if(sign = '+') AS BIGINT) AS line_additions, CAST(count_if(sign = '-') AS BIGINT) AS line_deletions,
        CAST(coalesce(count_if(st = '+'), 0) AS BIGINT) AS block_additions, CAST(coalesce(count_if(st = '-'), 0) AS BIGINT) AS block_deletions FROM c GROUP BY k""")
@@ -242,7 +226,7 @@ def commit_stats(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.commit_stats(timeline.patch_files(lines), timeline.hunks(lines), timeline.blocks(lines))
 
 
-@query("SELECT CAST(l_orderkey AS VARCHAR) AS commit_sha, l_orderkey || '.rs' AS old_path, l_orderkey || '.rs' AS new_path, 'modify' AS change_type, CAST(count_if(l_returnflag <> 'R' AND CAST(l_quantity AS BIGINT) % 2 = 0) AS BIGINT) AS additions, CAST(count_if(l_returnflag = 'R') AS BIGINT) AS deletions, CAST(10 AS BIGINT) AS old_start, CAST(3 AS BIGINT) AS old_lines, CAST(20 AS BIGINT) AS new_start, CAST(1 AS BIGINT) AS new_lines FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY l_orderkey")
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS commit_sha, l_orderkey || '.rs' AS old_path, l_orderkey || '.rs' AS new_path, 'modify' AS change_type, CAST(count_if(l_returnflag <> 'R' AND CAST(l_quantity AS BIGINT) % 2 = 0) AS BIGINT) AS additions, CAST(count_if(l_returnflag = 'R') AS BIGINT) AS deletions, CAST(10 AS BIGINT) AS old_start, CAST(3 AS BIGINT) AS old_lines, CAST(20 AS BIGINT) AS new_start, CAST(1 AS BIGINT) AS new_lines FROM lineitem GROUP BY l_orderkey")
 def diff_files(spark: SparkSession, sf: str) -> DataFrame:
     lines = timeline.diff_lines(_diff_patches(spark, sf))
     f, h = timeline.patch_files(lines), timeline.hunks(lines)
@@ -318,6 +302,28 @@ def flow_messages(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("session_id", F.col("ts").cast("bigint").alias("event_id"), fl.message_class(F.col("direction"), F.col("status")).alias("class"), fl.short_tokens(F.col("tokens") * 37).alias("shown"))
 
 
+_SESSION = "CASE event_id % 8 WHEN 0 THEN 's' || user_id % 10 WHEN 1 THEN 'r' || user_id % 7 WHEN 2 THEN 'o' || user_id % 5 WHEN 3 THEN 's' || user_id % 10 WHEN 4 THEN 's' || user_id % 10 WHEN 5 THEN 'q' || user_id % 7 ELSE substr('conn-' || user_id || '-abcdefgh', 1, 12) END"
+
+
+@query(f"""WITH e AS (SELECT event_id, {_SESSION} AS session_id, props, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id % 8 = 1 AS stream FROM events WHERE event_id % 9 <> 0),
+b AS (SELECT *, CASE WHEN stream THEN 'data: ' || props || chr(10) || 'data: plain' || chr(10) || 'data: {{"usage":{{"total_tokens":' || k || '}}}}' || chr(10) || 'data: [DONE]' || chr(10) ELSE props END AS raw FROM e)
+SELECT event_id, session_id, CASE WHEN stream THEN '[' || props || ',"plain",{{"usage":{{"total_tokens":' || k || '}}}}]' ELSE props END AS body, CAST(CASE WHEN stream AND k <> 0 THEN k ELSE strlen(raw) // 4 END AS BIGINT) AS tokens FROM b""")
+def flow_parsing(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw events: session ids in every place, streams and plain bodies, some of other hosts."""
+    k, u = F.col("event_id") % 8, F.col("user_id")
+    name = lambda p, n: F.concat(F.lit(p), (u % n).cast("string"))
+    none = F.expr("cast(map() as map<string,string>)")
+    own = F.when(k == 0, F.create_map(F.lit("X-Session-Id"), name("s", 10))).when(k == 1, F.create_map(F.lit("x-request-id"), name("r", 7), F.lit("content-type"), F.lit("text/event-stream; charset=utf-8"))).when(k == 2, F.create_map(F.lit("x-oai-request-id"), name("o", 5)))
+    own = own.when(k == 4, F.create_map(F.lit("x-session-id"), name("s", 10), F.lit("x-oai-request-id"), F.lit("z"))).when(k == 5, F.create_map(F.lit("x-request-id"), F.lit(""), F.lit("x-oai-request-id"), name("q", 7))).otherwise(none)
+    asked = F.when(k == 3, F.create_map(F.lit("x-session-id"), name("s", 10))).otherwise(none)
+    stream = F.concat(F.lit("data: "), "props", F.lit('\ndata: plain\ndata: {"usage":{"total_tokens":'), F.get_json_object("props", "$.k"), F.lit("}}\ndata: [DONE]\n"))
+    e = pj.read(spark, sf, "events").select(
+        own.alias("headers"), asked.alias("request_headers"), F.concat(F.lit("conn-"), u.cast("string"), F.lit("-abcdefgh")).alias("connection_id"), F.when(F.col("event_id") % 2 == 0, "request").otherwise("response").alias("direction"), F.when(F.col("event_id") % 9 == 0, "example.org").otherwise("api.openai.com").alias("host"),
+        F.lit("POST").alias("method"), F.lit("https://api.openai.com/v1").alias("url"), F.lit(200).alias("status"), F.when(k == 1, stream).otherwise(F.col("props")).alias("body"), F.col("event_id").cast("double").alias("ts"),
+    )
+    return fl.messages(e).select(F.col("ts").cast("bigint").alias("event_id"), "session_id", "body", "tokens")
+
+
 @query("SELECT conv_id, turn, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE strlen(text) // 4 END AS BIGINT) AS tokens FROM conversations")
 def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return pj.read(spark, sf, "conversations").select("conv_id", "turn", fl.tokens(F.col("text")).alias("tokens"))
@@ -353,10 +359,14 @@ def tail_search(spark: SparkSession, sf: str) -> DataFrame:
     return textops.tail_search(lines, 3, "the").select("path", "line_no")
 
 
-@query(f"{LINES} SELECT path, line_no + 1 AS line_no, unnest(list_filter([CASE WHEN regexp_matches(line, '[ \\t]+$') THEN 'trailing-space' END, CASE WHEN regexp_matches(line, '\\t') THEN 'tab' END, CASE WHEN length(line) >= 121 THEN 'long-line' END], lambda x: x IS NOT NULL)) AS rule FROM l")
+@query(f"""{LINES}, e AS (SELECT path || CASE doc_id % 4 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.sh' ELSE '' END AS path, doc_id % 4 AS m, line_no, line || CASE line_no % 5 WHEN 0 THEN ' x.unwrap()' WHEN 1 THEN ' todo!()' WHEN 2 THEN ' import *' WHEN 3 THEN ' eval x' ELSE '' END AS line FROM l),
+r(m, rule, p) AS (VALUES (0, 'bare unwrap()', 'unwrap()'), (0, 'unfinished code', 'todo!'), (0, 'unfinished code', 'unimplemented!'), (1, 'wildcard import', 'import *'), (2, 'eval usage', 'eval '))
+SELECT DISTINCT path, line_no + 1 AS line_no, rule FROM e JOIN r ON e.m = r.m AND contains(line, p)""")
 def lint_rules(spark: SparkSession, sf: str) -> DataFrame:
-    lines = pj.files(spark, sf).select("path", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    return textops.lint(lines)
+    """Lines of documents with code at their ends, as files of four kinds."""
+    k = F.col("doc_id") % 4
+    lines = pj.files(spark, sf).select(F.concat("path", _of(k, [".rs", ".py", ".sh", ""])).alias("path"), F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+    return textops.lint(lines.withColumn("line", F.concat("line", _of(F.col("line_no") % 5, [" x.unwrap()", " todo!()", " import *", " eval x", ""]))))
 
 
 def _listing(spark: SparkSession, sf: str) -> DataFrame:
@@ -377,14 +387,18 @@ def retention_budget(spark: SparkSession, sf: str) -> DataFrame:
     return textops.over_budget(_listing(spark, sf), 500).select("path", "length", "freed")
 
 
-@query("SELECT 't' || l_suppkey AS binary, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS passed, CAST(sum(l_linenumber) AS BIGINT) AS failed FROM lineitem GROUP BY l_suppkey")
+@query("SELECT l_suppkey AS log, CASE WHEN l_suppkey % 2 = 0 THEN 'src/t' || l_suppkey ELSE 'integration' || l_suppkey END AS binary, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS passed, CAST(sum(l_linenumber) AS BIGINT) AS failed, coalesce(string_agg(CASE WHEN l_returnflag = 'R' THEN 't::p' || l_partkey END, ',' ORDER BY l_orderkey, l_linenumber, l_partkey), '') AS failed_tests FROM lineitem GROUP BY l_suppkey")
 def log_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """A log per supplier: a heading, then a result line per line item."""
+    """A log per supplier: a heading, then a result line per line item, behind a failed test for the returned ones."""
     li = pj.read(spark, sf, "lineitem")
-    n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber"))
-    body = li.select(F.col("l_suppkey").alias("log"), n.alias("line_no"), F.format_string("test result: ok. %d passed; %d failed; 0 ignored", F.col("l_quantity").cast("bigint"), F.col("l_linenumber")).alias("line"))
-    heads = li.select(F.col("l_suppkey").alias("log")).distinct().select("log", F.lit(0).alias("line_no"), F.concat(F.lit("     Running t"), F.col("log").cast("string")).alias("line"))
-    return textops.log_summary(body.unionByName(heads))
+    n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag"))
+    rows = li.select(F.col("l_suppkey").alias("log"), (n * 2).alias("n"), "l_quantity", "l_linenumber", "l_partkey", "l_returnflag")
+    body = rows.select("log", F.col("n").alias("line_no"), F.format_string("test result: FAILED. %d passed; %d failed; 0 ignored", F.col("l_quantity").cast("bigint"), F.col("l_linenumber")).alias("line"))
+    failed = rows.where("l_returnflag = 'R'").select("log", (F.col("n") - 1).alias("line_no"), F.concat(F.lit("test t::p"), F.col("l_partkey").cast("string"), F.lit(" ... FAILED")).alias("line"))
+    k = F.col("log").cast("string")
+    head = F.when(F.col("log") % 2 == 0, F.concat(F.lit("     Running unittests src/t"), k, F.lit(".rs (target/debug/deps/x-1)"))).otherwise(F.concat(F.lit("     Running tests/integration"), k, F.lit("/mod.rs (target/debug/deps/y-2)")))
+    heads = li.select(F.col("l_suppkey").alias("log")).distinct().select("log", F.lit(0).alias("line_no"), head.alias("line"))
+    return textops.log_summary(body.unionByName(failed).unionByName(heads)).withColumn("failed_tests", F.array_join("failed_tests", ","))
 
 
 # --- functions -------------------------------------------------------------------------------------------------------
@@ -479,62 +493,159 @@ def patch_apply(spark: SparkSession, sf: str) -> DataFrame:
     return engine.plan(p, pj.files(spark, sf).select("path", "content"), "1.2.3")["results"].select("ord", "status")
 
 
-# --- made rows: no table holds such texts --------------------------------------------------------------------------------
+# --- code: a generated Rust and TOML text per part ---------------------------------------------------------------------
 
-RUST = """use std::fmt;\n\n/// fn hidden() {}\npub struct Point { x: i32, y: i32 }\n\nimpl Point {\n    pub fn len(&self) -> f64 { let s = "fn no() {"; 0.0 }\n}\n\nimpl fmt::Display for Point {\n    fn fmt(&self) -> u8 { match self.x { 0 => 1, _ => 2 } }\n}\n\nconst MAX_SIZE: usize = 10;\nstatic NAME: &str = "a";\n\nfn main() { println!("{}", 1); foo(a, b); foo(c, c); }\n"""
-TOML_TEXT = '# head\n[package]\nname = "a" # note\nversion = "1"\n\n[profile.release]\nopt-level = 3\n'
+RUST = """use std::fmt;
 
+/// fn hidden() {}
+pub struct P@ { x: i32, y: i32 }
 
-@query()
+impl P@ {
+    pub fn len(&self) -> f64 { let s = "fn no() {"; 0.0 }
+}
+
+impl fmt::Display for P@ {
+    fn fmt(&self) -> u8 { match self.x { 0 => 1, _ => 2 } }
+}
+
+const MAX_@: usize = 10;
+static NAME: &str = "é@";
+
+fn main() { println!("{}", 1); foo(a, b); foo(c@, c@); }
+"""
+#: Its nodes: parent, kind, name, trait, text, the text before its body.
+RUST_NODES = [
+    (None, "use_declaration", "std::fmt", None, "use std::fmt;", None),
+    (None, "struct_item", "P@", None, "pub struct P@ { x: i32, y: i32 }", "pub struct P@ "),
+    (None, "impl_item", "P@", None, 'impl P@ {\n    pub fn len(&self) -> f64 { let s = "fn no() {"; 0.0 }\n}', "impl P@ "),
+    (2, "function_item", "len", None, 'pub fn len(&self) -> f64 { let s = "fn no() {"; 0.0 }', "pub fn len(&self) -> f64 "),
+    (None, "impl_item", "P@", "fmt::Display", "impl fmt::Display for P@ {\n    fn fmt(&self) -> u8 { match self.x { 0 => 1, _ => 2 } }\n}", "impl fmt::Display for P@ "),
+    (4, "function_item", "fmt", None, "fn fmt(&self) -> u8 { match self.x { 0 => 1, _ => 2 } }", "fn fmt(&self) -> u8 "),
+    (5, "match_arm", "0", None, "0 => 1", "0 => "),
+    (5, "match_arm", "_", None, "_ => 2", "_ => "),
+    (None, "const_item", "MAX_@", None, "const MAX_@: usize = 10;", None),
+    (None, "static_item", "NAME", None, 'static NAME: &str = "é@";', None),
+    (None, "function_item", "main", None, 'fn main() { println!("{}", 1); foo(a, b); foo(c@, c@); }', "fn main() "),
+]
+TOML_TEXT = '# head @\n[package]\nname = "a@" # note\nversion = "1"\n\n[profile.release]\nopt-level = 3\n'
+
+
+def _quoted(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
+def _per_part(spark: SparkSession, sf: str, template: str, ext: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    return pj.read(spark, sf, "part").select("p_partkey", F.concat(F.lit("p/"), k, F.lit(ext)).alias("path"), F.replace(F.lit(template), F.lit("@"), k).alias("content"))
+
+
+def _per_part_sql(template: str, ext: str) -> str:
+    return f"f AS (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS k, 'p/' || p_partkey || '{ext}' AS path, replace({_quoted(template)}, '@', CAST(p_partkey AS VARCHAR)) AS content FROM part)"
+
+
+CODE = f"""WITH {_per_part_sql(RUST, '.rs')},
+t(node_id, parent_id, kind, name, trait, txt, head) AS (VALUES {', '.join('(' + ', '.join(map(_quoted, (k, *row))) + ')' for k, row in enumerate(RUST_NODES))}),
+n AS (SELECT path, p_partkey, CAST(node_id AS INTEGER) AS node_id, CAST(parent_id AS INTEGER) AS parent_id, kind, replace(name, '@', k) AS name, trait, CAST(strlen(substr(content, 1, strpos(content, replace(txt, '@', k)) - 1)) AS BIGINT) AS byte_start, strlen(replace(txt, '@', k)) AS size, strlen(replace(head, '@', k)) AS lead FROM f, t),
+nodes AS (SELECT path, p_partkey, node_id, parent_id, kind, name, trait, byte_start, byte_start + size AS byte_end, byte_start + lead AS body_start, CASE WHEN lead IS NOT NULL THEN byte_start + size END AS body_end FROM n)"""
+
+
+def _rust(spark: SparkSession, sf: str) -> DataFrame:
+    return _per_part(spark, sf, RUST, ".rs").select("path", "content")
+
+
+@query(f"{CODE} SELECT path, node_id, parent_id, kind, name, trait, byte_start, byte_end, body_start, body_end FROM nodes")
 def rust_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.node_table(spark.createDataFrame([("a.rs", RUST)], "path string, content string"))
+    return structure.node_table(_rust(spark, sf))
 
 
-@query()
+@query(f"WITH {_per_part_sql(RUST, '.rs')}, e AS (SELECT path, strlen(content) AS n, p_partkey % 3 AS m FROM f) SELECT path, CAST(n + 8 AS BIGINT) AS byte_start, CAST(n + 9 AS BIGINT) AS byte_end FROM e WHERE m = 2 UNION ALL SELECT path, CAST(n + d AS BIGINT), CAST(n + d + 1 AS BIGINT) FROM e, (VALUES (7), (9)) AS x(d) WHERE m = 1")
 def syntax_errors(spark: SparkSession, sf: str) -> DataFrame:
-    broken = spark.createDataFrame([("a.rs", RUST + "fn x() { (\n"), ("b.rs", 'let s = "open')], "path string, content string")
-    return structure.errors(structure.node_table(broken))
+    """A third of the texts ends in two open brackets, a third in an open string."""
+    k = F.col("p_partkey") % 3
+    broken = _per_part(spark, sf, RUST, ".rs").select("path", F.concat("content", F.when(k == 1, "fn x() { (\n").when(k == 2, 'let s = "open').otherwise("")).alias("content"))
+    return structure.errors(structure.node_table(broken)).select("path", "byte_start", "byte_end")
 
 
-@query()
+#: Targets and what they mean in the generated texts.
+TARGETS = [
+    ("fn main", "kind = 'function_item' AND name = 'main'"), ("fn P7::len", "kind = 'function_item' AND name = 'len' AND CAST(p_partkey AS VARCHAR) LIKE '7%'"), ("struct P11", "kind = 'struct_item' AND name = 'P11'"),
+    ("impl fmt::Display for P12", "kind = 'impl_item' AND trait = 'fmt::Display' AND name = 'P12'"), ("const /^MAX_1/", "kind = 'const_item' AND name LIKE 'MAX\\_1%' ESCAPE '\\'"), ("static NAME", "kind = 'static_item'"), ("use std", "kind = 'use_declaration'"),
+]
+
+
+@query(f"{CODE} " + " UNION ALL ".join(f"SELECT {_quoted(dsl)} AS target, path, byte_start, byte_end FROM nodes WHERE {where}" for dsl, where in TARGETS))
 def structural_targets(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = structure.node_table(spark.createDataFrame([("a.rs", RUST)], "path string, content string"))
-    out = None
-    for dsl in ("fn main", "fn Point::len", "struct Point", "impl fmt::Display for Point", "const /^MAX/", "static NAME", "use std"):
-        one = structure.locate(nodes, dsl).select(F.lit(dsl).alias("target"), "path", "byte_start", "byte_end")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return structure.locate_all(structure.node_table(_rust(spark, sf)), [dsl for dsl, _ in TARGETS]).select("target", "path", "byte_start", "byte_end")
 
 
-@query()
+@query(f"{CODE} SELECT path, node_id, name, byte_start, byte_end FROM nodes WHERE kind = 'match_arm' AND name = '0'")
 def match_arms(spark: SparkSession, sf: str) -> DataFrame:
-    f = spark.createDataFrame([("a.rs", RUST)], "path string, content string")
-    return structure.match_arms(f, structure.node_table(f), "0")
+    f = _rust(spark, sf)
+    return structure.match_arms(f, structure.node_table(f), "0").select("path", "node_id", "name", "byte_start", "byte_end")
 
 
-@query()
+_CALLS = " UNION ALL ".join(f"SELECT path, CAST(strlen(substr(content, 1, strpos(content, {t}) - 1)) AS BIGINT) AS byte_start, CAST(strlen(substr(content, 1, strpos(content, {t}) - 1)) + strlen({t}) AS BIGINT) AS byte_end, {t} AS text, {a} AS a, {b} AS b FROM f" for t, a, b in (("'foo(a, b)'", "'a'", "'b'"), ("'foo(c' || k || ', c' || k || ')'", "'c' || k", "'c' || k")))
+
+
+@query(f"WITH {_per_part_sql(RUST, '.rs')} {_CALLS}")
 def ast_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    return structure.matches(spark.createDataFrame([("a.rs", RUST)], "path string, content string"), pattern="foo($A, $B)")
+    return structure.matches(_rust(spark, sf), pattern="foo($A, $B)").select("path", "byte_start", "byte_end", "text", F.col("captures")["A"].alias("a"), F.col("captures")["B"].alias("b"))
 
 
-@query()
+@query(f"WITH {_per_part_sql(RUST, '.rs')}, c AS ({_CALLS}) SELECT path, 'main' AS function, byte_start, text FROM c")
+def pattern_in_function(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.find_in_function(_rust(spark, sf), "foo($A, $B)", "main").select("path", "function", "byte_start", "text")
+
+
+@query(f"WITH {_per_part_sql(RUST, '.rs')} SELECT path, sha256(replace(replace(content, 'foo(a, b)', 'bar(b, a)'), 'foo(c' || k || ', c' || k || ')', 'bar(c' || k || ', c' || k || ')')) AS content_sha256, true AS changed FROM f")
+def pattern_replace(spark: SparkSession, sf: str) -> DataFrame:
+    done = structure.find_and_replace(_rust(spark, sf), "foo($A, $B)", "bar($B, $A)")
+    return done.select("path", F.sha2("content", 256).alias("content_sha256"), "changed")
+
+
+@query(f"""WITH {_per_part_sql(TOML_TEXT, '.toml')}, h AS (SELECT *, strlen(content) AS n, strlen('# head ' || k) + 1 AS a FROM f), p AS (SELECT *, strlen(substr(content, 1, strpos(content, '[profile') - 1)) AS b FROM h)
+SELECT path, 'package' AS section, CAST(a AS BIGINT) AS header_start, CAST(a + 9 AS BIGINT) AS header_end, CAST(a + 10 AS BIGINT) AS body_start, CAST(b AS BIGINT) AS body_end FROM p
+UNION ALL SELECT path, 'profile.release', CAST(b AS BIGINT), CAST(b + 17 AS BIGINT), CAST(b + 18 AS BIGINT), CAST(n AS BIGINT) FROM p""")
 def toml_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return toml_spans.sections(spark.createDataFrame([("Cargo.toml", TOML_TEXT)], "path string, content string"))
+    return toml_spans.sections(_per_part(spark, sf, TOML_TEXT, ".toml").select("path", "content"))
 
 
-@query()
+@query(f"WITH {_per_part_sql(TOML_TEXT, '.toml')} SELECT p_partkey AS ord, CASE WHEN p_partkey % 4 = 0 THEN 'AlreadyApplied' WHEN p_partkey % 4 = 1 THEN 'Failed' ELSE 'Applied' END AS status, sha256(CASE p_partkey % 4 WHEN 0 THEN replace(content, 'opt-level = 3', 'opt-level = 2') WHEN 1 THEN replace(content, 'profile.release', 'profile.bench') ELSE replace(content, 'opt-level = 3', 'opt-level = 2') END) AS content_sha256 FROM f")
 def toml_plan(spark: SparkSession, sf: str) -> DataFrame:
-    text = '[meta]\nname = "t"\n[[patches]]\nid = "a"\nfile = "Cargo.toml"\nquery = { type = "toml", section = "profile.release", key = "opt-level" }\noperation = { type = "replace-value", value = "2" }\n'
-    files = spark.createDataFrame([("Cargo.toml", TOML_TEXT)], "path string, content string")
-    p = engine.plan(configs.from_text(spark, text), files, "1.0.0")
-    return p["results"].join(p["files"], F.col("file") == F.col("path")).select("patch_id", "status", "content")
+    """A patch per file: set a value that some files have already, and whose section others lack."""
+    text = '[meta]\nname = "t"\n[[patches]]\nid = "a"\nfile = "Cargo.toml"\nquery = { type = "toml", section = "profile.release", key = "opt-level" }\noperation = { type = "replace-value", value = "2" }\nconstraint = { ensure_present = true }\n'
+    files = _per_part(spark, sf, TOML_TEXT, ".toml")
+    k = F.col("p_partkey") % 4
+    files = files.withColumn("content", F.when(k == 0, F.replace("content", F.lit("opt-level = 3"), F.lit("opt-level = 2"))).when(k == 1, F.replace("content", F.lit("profile.release"), F.lit("profile.bench"))).otherwise(F.col("content")))
+    one = configs.from_text(spark, text)
+    patches = files.select("p_partkey", "path").join(F.broadcast(one.drop("ord", "file")), F.lit(True)).withColumn("ord", F.col("p_partkey").cast("int")).withColumn("file", F.col("path")).select(one.columns)
+    p = engine.plan(patches, files.select("path", "content"), "1.0.0")
+    return p["results"].join(p["files"], F.col("file") == F.col("path")).select(F.col("ord").cast("long").alias("ord"), "status", F.sha2("content", 256).alias("content_sha256"))
+
+
+_FIELD = ["max_count", "is_on", "items"]
+_VALUE = ["0", "false", "Vec::new()"]
+_INIT = ["let point = Point { x: @ };\n", "let point = Point {\n    x: @,\n};\n", "let point@ = Point {};\n"]
+
+
+def _of(k, options: list[str]):
+    out = F.lit(options[-1])
+    for n in range(len(options) - 1):
+        out = F.when(k == n, F.lit(options[n])).otherwise(out)
+    return out
 
 
-@query()
-def autofix_edits(spark: SparkSession, sf: str) -> DataFrame:
-    import json
+def _of_sql(k: str, options: list[str]) -> str:
+    return f"CASE {k} " + " ".join(f"WHEN {n} THEN {_quoted(x)}" for n, x in enumerate(options)) + " END"
 
-    span = {"file_name": "a.rs", "byte_start": 11, "byte_end": 16, "line_start": 1, "line_end": 1, "is_primary": True}
-    line = json.dumps({"reason": "compiler-message", "message": {"message": "missing field `max_count` in initializer of `Point`", "level": "error", "code": {"code": "E0063"}, "spans": [span], "children": []}})
-    d = src.parse_diagnostics(spark.createDataFrame([(line,), ("noise",), ("{bad",)], "line string"))
-    return autofix.fixes(d, spark.createDataFrame([("a.rs", "let point = Point { x: 1 };\n")], "path string, content string"))["edits"]
+
+@query(f"""WITH f AS (SELECT p_partkey, 'p/' || p_partkey || '.rs' AS path, replace({_of_sql('p_partkey % 3', _INIT)}, '@', CAST(p_partkey AS VARCHAR)) AS content, {_of_sql('p_partkey // 3 % 3', [f'{a}: {b}' for a, b in zip(_FIELD, _VALUE, strict=True)])} AS pair FROM part)
+SELECT path, CAST(strpos(content, '}}') - 1 AS BIGINT) AS byte_start, CAST(strpos(content, '}}') - 1 AS BIGINT) AS byte_end, CASE p_partkey % 3 WHEN 0 THEN ',' || chr(10) || ' ' || pair WHEN 1 THEN chr(10) || '    ' || pair || ',' ELSE chr(10) || '    ' || pair || ',' || chr(10) END AS new_text, 'E0063' AS rule FROM f""")
+def autofix_edits(spark: SparkSession, sf: str) -> DataFrame:
+    """A compiler message per part about a field that its initializer lacks."""
+    k = F.col("p_partkey")
+    d = pj.read(spark, sf, "part").select(F.concat(F.lit("p/"), k.cast("string"), F.lit(".rs")).alias("path"), F.replace(_of(k % 3, _INIT), F.lit("@"), k.cast("string")).alias("content"), _of(F.floor(k / 3) % 3, _FIELD).alias("field"))
+    span = F.struct(F.col("path").alias("file_name"), (F.instr("content", "Point {") - 1).alias("byte_start"), F.instr("content", "}").alias("byte_end"), F.lit(True).alias("is_primary"))
+    message = F.struct(F.concat(F.lit("missing field `"), "field", F.lit("` in initializer of `Point`")).alias("message"), F.lit("error").alias("level"), F.struct(F.lit("E0063").alias("code")).alias("code"), F.array(span).alias("spans"))
+    lines = d.select(F.to_json(F.struct(F.lit("compiler-message").alias("reason"), message.alias("message"))).alias("line"))
+    return autofix.fixes(src.parse_diagnostics(lines), d.select("path", "content"))["edits"].select("path", "byte_start", "byte_end", "new_text", "rule")

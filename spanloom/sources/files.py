@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FLOW = "session_id string, direction string, method string, url string, status int, body string, tokens bigint, ts double"
-FLOW_EVENT = "headers map<string,string>, connection_id string, direction string, host string, method string, url string, status int, body string, ts double"
+FLOW_EVENT = "headers map<string,string>, request_headers map<string,string>, connection_id string, direction string, host string, method string, url string, status int, body string, ts double"
 _SPAN = "struct<file_name:string,byte_start:bigint,byte_end:bigint,line_start:bigint,line_end:bigint,is_primary:boolean,suggested_replacement:string,suggestion_applicability:string,expansion:struct<macro_decl_name:string>>"
 _LEAF = f"struct<message:string,level:string,spans:array<{_SPAN}>>"
 _CHILD = _LEAF
@@ -32,9 +32,9 @@ def listing(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no, line of a log, kept whole per file so that its order is known."""
-    d = spark.read.text(path, wholetext=True)
-    return d.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """log (the file), line_no, line of logs, kept whole per file so that the order of its lines is known."""
+    d = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("log"))
+    return d.select("log", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
 def diagnostics(spark: SparkSession, path: str) -> DataFrame:

@@ -115,13 +115,14 @@ def test_fold_overlap_and_atomicity(spark):
     e = edit_rows(spark, [("a", 0, 0, 2, "X", "ä"), ("a", 1, 3, 4, "YY", "c"), ("b", 2, 0, 3, "1", "abc"), ("b", 3, 2, 4, "2", "cd"), ("c", 4, 0, 1, "Z", "wrong"), ("c", 5, 1, 2, "B", "b")])
     done = E.run_edits(f, e)
     assert {r.ord: (r.status, r.error_kind) for r in done.collect()} == {0: ("Applied", None), 1: ("Applied", None), 2: ("Failed", "Overlap"), 3: ("Failed", "Overlap"), 4: ("Failed", "BeforeTextMismatch"), 5: ("Failed", "FileFailed")}
-    assert {r.path: r.content for r in E.patched(f, done).collect()} == {"a": "XbYYdef", "b": "abcdef", "c": "abc"}
+    f = f.unionByName(files(spark, d="untouched"))
+    assert {r.path: (r.content, r.changed) for r in E.applied(f, e).collect()} == {"a": ("XbYYdef", True), "b": ("abcdef", False), "c": ("abc", False), "d": ("untouched", False)}
 
 
 def test_equal_starts_keep_config_order(spark):
     f = files(spark, a="z")
     e = edit_rows(spark, [("a", 0, 0, 0, "1", ""), ("a", 1, 0, 0, "2", "")])
-    assert E.patched(f, E.run_edits(f, e)).first().content == "21z"
+    assert E.applied(f, e).first().content == "21z"
 
 
 def test_hash_verification(spark):
@@ -131,6 +132,39 @@ def test_hash_verification(spark):
     assert E.run_edits(f, E.with_hashes(e).drop("expected")).first().status == "Applied"
 
 
+def test_fuzzy_query_by_brute_force(spark, tmp_path):
+    """The registered query over documents of any alphabet, long lines and null texts."""
+    import random
+
+    from spanloom.plans import queries  # noqa: F401  (registers)
+    from spanloom.plans.registry import QUERIES
+
+    rng = random.Random(2)
+    texts = ["\n".join("".join(rng.choice("aeé日 ") for _ in range(rng.randint(1, 25))) for _ in range(5)) for _ in range(15)] + [None, "one line", "x\n\ny", "a\n" + "be" * 2500 + "\nc"]
+    spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    for name, more in (("fuzzy_fixed_best", 0), ("fuzzy_elastic_best", 2)):
+        got = {r.path: (r.byte_start, r.window_lines, r.score) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        for k, t in enumerate(texts[:15]):
+            lines = t.split("\n")
+            needle, best = lines[1].replace("e", "E"), None
+            for w in range(1, 2 + more):
+                for i in range(len(lines) - w + 1):
+                    text = "\n".join(lines[i : i + w])
+                    score = 1 - edit_distance(needle, text) / max(len(needle), len(text))
+                    if score >= 0.85 and (best is None or score > best[2] + 1e-9):
+                        best = (len("\n".join([*lines[:i], ""]).encode()), w, round(score, 6))
+            assert got.get(f"s/{k}.txt") == best, (name, k)
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for x, ca in enumerate(a, 1):
+        prev, row[0] = row[0], x
+        for y, cb in enumerate(b, 1):
+            prev, row[y] = row[y], min(row[y] + 1, row[y - 1] + 1, prev + (ca != cb))
+    return row[-1]
+
+
 @pytest.mark.parametrize("expansion", [0, 2])
 def test_fuzzy_against_brute_force(spark, expansion):
     import random
@@ -142,21 +176,13 @@ def test_fuzzy_against_brute_force(spark, expansion):
         i = rng.randint(0, 6)
         cases.append((k, lines[i] + "\n" + lines[i + 1][:-1] + "z", "\n".join(lines) + ("\n" if k % 2 else ""), 0.5, expansion))
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for x, ca in enumerate(a, 1):
-            prev, row[0] = row[0], x
-            for y, cb in enumerate(b, 1):
-                prev, row[y] = row[y], min(row[y] + 1, row[y - 1] + 1, prev + (ca != cb))
-        return row[-1]
-
     want = {}
     for k, needle, text, thr, exp in cases:
         lines, best = text.splitlines(), None
         for w in range(2, 3 + exp):
             for i in range(len(lines) - w + 1):
                 got = "\n".join(lines[i : i + w])
-                s = 1 - distance(needle, got) / max(len(needle), len(got))
+                s = 1 - edit_distance(needle, got) / max(len(needle), len(got))
                 if s >= thr and (best is None or s > best[0] + 1e-12):
                     best = (s, w, i)
         want[k] = best

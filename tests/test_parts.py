@@ -3,11 +3,12 @@ import json
 import pytest
 
 from spanloom.operators import autofix, guards, structure, textops, toml_spans
-from spanloom.plans import queries, timeline
+from spanloom.plans import timeline
 from spanloom.sources import configs
 from spanloom.sources import files as src
 from spanloom.streaming import flows
 
+RUST = """use std::fmt;\n\n/// fn hidden() {}\npub struct Point { x: i32, y: i32 }\n\nimpl Point {\n    pub fn len(&self) -> f64 { let s = "fn no() {"; 0.0 }\n}\n\nimpl fmt::Display for Point {\n    fn fmt(&self) -> u8 { match self.x { 0 => 1, _ => 2 } }\n}\n\nconst MAX_SIZE: usize = 10;\nstatic NAME: &str = "a";\n\nfn main() { println!("{}", 1); foo(a, b); foo(c, c); }\n"""
 DIFF = """noise
 diff --git a/x.rs b/x.rs
 --- a/x.rs
@@ -59,7 +60,7 @@ def test_warehouse_from_rows(spark, tmp_path):
 
 
 def test_rust_nodes(spark):
-    n = structure.node_table(spark.createDataFrame([("a.rs", queries.RUST)], "path string, content string"))
+    n = structure.node_table(spark.createDataFrame([("a.rs", RUST)], "path string, content string"))
     names = sorted((r.kind, r.name) for r in n.collect())
     assert ("function_item", "hidden") not in names and ("function_item", "no") not in names
     find = lambda q: [r.name for r in structure.locate(n, q).collect()]
@@ -104,16 +105,16 @@ def test_issues_and_guards(spark):
 def test_autofix(spark):
     span = {"file_name": "a.rs", "byte_start": 0, "byte_end": 3, "is_primary": True, "suggested_replacement": "bar", "suggestion_applicability": "MachineApplicable"}
     line = lambda code, spans: json.dumps({"reason": "compiler-message", "message": {"message": "m", "level": "error", "code": {"code": code}, "spans": spans, "children": []}})
-    other = dict(span, suggestion_applicability=None, suggested_replacement="std::x")
-    rows = [(line("E1", [span, span]),), (line("E0433", [other]),), (line("E9", [dict(span, suggested_replacement=None)]),), ("noise",), (line("E1", [dict(span, file_name="target/b.rs")]),)]
+    other = dict(span, suggestion_applicability="MaybeIncorrect", suggested_replacement="std::x")
+    rows = [(line("E1", [span, span]),), (line("E0433", [other]),), (line("E9", [dict(span, suggested_replacement=None)]),), ("noise",), (line("E0433", [dict(other, suggestion_applicability="HasPlaceholders")]),), (line("E2", [span]),), (line("E1", [dict(span, file_name="target/b.rs")]),)]
     d = src.parse_diagnostics(spark.createDataFrame(rows, "line string"))
     out = autofix.fixes(d, spark.createDataFrame([("a.rs", "foo()")], "path string, content string"))
     assert sorted((r.rule, r.new_text, r.expected) for r in out["edits"].collect()) == [("E0433", "std::x", "foo"), ("machine", "bar", "foo")]
-    assert out["unfixed"].count() == 2
+    assert out["unfixed"].count() == 3
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    events = [{"headers": {"session_id": f"s{k % 3}"}, "connection_id": "c" * 20, "direction": "request" if k % 2 else "response", "host": "api.openai.com", "method": "POST", "url": "https://api.openai.com/v1?a=1", "status": 200, "body": "x" * k, "ts": float(k)} for k in range(10)]
+    events = [{"headers": {"X-Session-Id": f"s{k % 3}"} if k % 2 else {}, "request_headers": {"x-session-id": f"s{k % 3}"}, "connection_id": "c" * 20, "direction": "request" if k % 2 else "response", "host": "api.openai.com", "method": "POST", "url": "https://api.openai.com/v1?a=1", "status": 200, "body": "x" * k, "ts": float(k)} for k in range(10)]
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text("\n".join([json.dumps(e) for e in events] + ["{bad"]))
     stream = flows.messages(src.flow_stream(spark, str(tmp_path / "in")))
@@ -127,14 +128,79 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_bodies(spark):
     from pyspark.sql import functions as F
 
-    sse = 'data: {"usage":{"total_tokens":7}}\ndata: {"usage":{"total_tokens":9}}\ndata: [DONE]\n'
-    r = spark.createDataFrame([(1, ""), (2, sse), (3, '{"usage":{"total_tokens":5}}'), (4, "hello world!")], "k int, b string").select("k", flows.tokens(F.col("b")).alias("t"), flows.parsed_body(F.col("b"))["kind"].alias("kind")).orderBy("k").collect()
-    assert [(x.t, x.kind) for x in r] == [(0, "empty"), (9, "sse"), (5, "json"), (3, "text")]
+    sse = 'event: x\ndata: {"usage":{"total_tokens":7}}\r\ndata: no "json"\ndata: {"usage":{"total_tokens":9}}\ndata: [DONE]\n'
+    long = '{"usage":{"total_tokens":5},"x":"' + "é" * 40_000 + '"}'
+    rows = [(1, "", ""), (2, sse, "text/event-stream"), (3, '{"usage":{"total_tokens":5}}', "application/json"), (4, "hello world!", None), (5, long, "application/json"), (6, sse, "")]
+    d = spark.createDataFrame(rows, "k int, b string, t string")
+    r = d.select("k", flows.tokens(F.col("b"), F.col("t")).alias("n"), flows.parsed_body(F.col("b"), F.col("t")).alias("p")).orderBy("k").collect()
+    assert [(x.n, x.p.kind) for x in r] == [(0, "empty"), (9, "sse"), (5, "json"), (3, "text"), (len(long.encode()) // 4, "text"), (len(sse) // 4, "text")]
+    assert json.loads(r[1].p.text) == [{"usage": {"total_tokens": 7}}, 'no "json"', {"usage": {"total_tokens": 9}}]
+    assert r[4].p.text == long.encode()[:65_536].decode(errors="replace")
+    many = "".join(f"data: {k}\n" for k in range(150))
+    assert spark.createDataFrame([(many,)], "b string").select(F.size(flows.sse_chunks(F.col("b")))).first()[0] == 100
+
+
+def test_insert_points():
+    """By the rule: the braces from 50 bytes before on, strings aside, and the first field's indent."""
+    at = lambda t, s=None, e=None: autofix._insert(t.encode(), t.index("P {") if s is None else s, t.index("}") + 1 if e is None else e)
+    assert at("let p = P { x: 1 };") == (17, " ", "", False, True)
+    assert at('  let p = P {\n      a: "}",\n  };', e=16) == (30, "      ", "  ", False, False)
+    assert at("let p = P {};") == (11, "    ", "", True, False)
+    assert at("} P { x: 1 }") is None and at("let p = P { x: 1", e=10) is None
+
+
+def test_replacement_and_validation(spark):
+    f = spark.createDataFrame([("a.rs", "fn main() { foo(é, foo(b, c)); }"), ("b.rs", "fn x() {}")], "path string, content string")
+    out = {r.path: (r.content, r.changed) for r in structure.find_and_replace(f, "foo($A, $B)", "bar($B)").collect()}
+    assert out == {"a.rs": ("fn main() { bar(foo(b, c)); }", True), "b.rs": ("fn x() {}", False)}
+    one = structure.replace_capture(structure.matches(f, pattern="foo($A, $B)"), "A", "z")
+    from spanloom.operators import edits
+
+    assert edits.applied(f, one).where("changed").first().content == "fn main() { foo(z, foo(b, c)); }"
+    assert {r.path: r.has_match for r in structure.has_match(f, "foo($A, $B)").collect()} == {"a.rs": True, "b.rs": False}
+    assert [r.function for r in structure.find_in_function(f, "foo($A, $B)", "main").collect()] == ["main", "main"] and structure.find_in_function(f, "foo($A, $B)", "x").count() == 0
+    bad = structure.replace_matches(structure.matches(f, pattern="foo($A, $B)"), "bar(($A)")
+    checked = {r.path: (r.changed, r.rejected) for r in structure.validated(f, bad).collect()}
+    assert checked == {"a.rs": (False, True), "b.rs": (False, False)}
+    nodes = structure.node_table(f)
+    assert structure.with_field(nodes, "function_item", "body").count() == 2 and structure.with_field(nodes, "function_item", "trait").count() == 0
+    with pytest.raises(structure.Unsupported):
+        structure.with_field(nodes, "function_item", "colour")
+
+
+def test_guarded_write(spark, tmp_path):
+    from spanloom.plans import engine
+
+    f = spark.createDataFrame([("/w/a.rs", "x", True), ("/w/target/b.rs", "y", False)], "path string, content string, changed boolean")
+    engine.write_files(f, str(tmp_path / "out"), "/w")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    for path in ("/w/target/b.rs", "/v/a.rs", "/w/../etc/x"):
+        bad = spark.createDataFrame([(path, "x", True)], f.schema)
+        with pytest.raises(PermissionError):
+            engine.write_files(bad, str(tmp_path / "no"), "/w")
+    assert not (tmp_path / "no").exists()
 
 
 def test_log_and_lint(spark):
-    log = ["     Running a (t/a)", "test result: ok. 3 passed; 1 failed; 0 ignored", "x", "   Doc-tests b", "test result: ok. 2 passed; 0 failed"]
+    log = ["     Running unittests src/lib.rs (t/a)", "test a::b ... FAILED", "test result: FAILED. 3 passed; 1 failed; 0 ignored", "x", "     Running tests/flow/mod.rs (t/b)", "test result: ok. 2 passed; 0 failed;"]
     s = textops.log_summary(spark.createDataFrame(list(enumerate(log)), "line_no int, line string"))
+    assert sorted((r.binary, r.passed, r.failed, r.failed_tests) for r in s.collect()) == [("flow", 2, 0, []), ("src/lib", 3, 1, ["a::b"])]
     assert tuple(textops.log_totals(s).first()) == (5, 1)
-    hits = textops.lint(spark.createDataFrame([("a.py", 0, "except:"), ("a.rs", 1, "x.unwrap() ")], "path string, line_no int, line string"))
-    assert sorted((r.path, r.rule) for r in hits.collect()) == [("a.py", "bare-except"), ("a.rs", "trailing-space"), ("a.rs", "unwrap")]
+    hits = textops.lint(spark.createDataFrame([("a.py", 0, "from x import *"), ("a.rs", 1, "x.unwrap() "), ("a.txt", 1, "eval x"), ("a.sh", 2, "eval x")], "path string, line_no int, line string"))
+    assert sorted((r.path, r.rule) for r in hits.collect()) == [("a.py", "wildcard import"), ("a.rs", "bare unwrap()"), ("a.sh", "eval usage")]
+
+
+def test_lifecycle_of_blocks_without_events(spark):
+    t = {"code_blocks": spark.createDataFrame([("h1", "x", 1, 1), ("h2", "y", 1, 1)], "block_hash string, content string, line_count bigint, byte_count bigint"), "block_events": spark.createDataFrame([(5, 1, "c1", "add", 3, "h1")], "event_id bigint, range_id bigint, commit_sha string, op string, line_count bigint, block_hash string")}
+    t |= {"range_commits": spark.createDataFrame([(1, "c1", 1)], "range_id bigint, commit_sha string, ordinal bigint"), "ranges": spark.createDataFrame([(1,)], "range_id bigint")}
+    got = {r.block_hash: (r.add_events, r.del_events, r.first_commit) for r in timeline.block_lifecycle(t).collect()}
+    assert got == {"h1": (1, 0, "c1"), "h2": (0, 0, None)}
+
+
+def test_align_newline(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.functions.text import align_newline
+
+    d = spark.createDataFrame([("a\n\n", "x"), ("a\n", "x\n"), ("a", "x\n")], "t string, c string")
+    assert [r[0] for r in d.select(align_newline(F.col("t"), F.col("c"))).collect()] == ["a\n", "a\n", "a\n"]
