@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_start, normalized_levenshtein, occurrences
+from ..functions.text import byte_start, occurrences
 
 DEFAULT_THRESHOLD = 0.85
 MAX_EXPANSION = 200
@@ -71,8 +71,9 @@ def fuzzy_best(pairs: DataFrame, key: list[str]) -> DataFrame:
     d = d.withColumn("matched_text", F.array_join(F.slice("_lines", F.col("start_line") + 1, F.col("window_lines")), "\n"))
     longest = F.greatest(F.length("search"), F.length("matched_text"))
     bound = F.ceil((1 - F.col("threshold")) * longest).cast("int")
-    d = d.where(F.abs(F.length("search") - F.length("matched_text")) <= bound).where(F.call_function("levenshtein", "search", "matched_text", bound) >= 0)
-    d = d.withColumn("score", normalized_levenshtein(F.col("search"), F.col("matched_text"))).where("score >= threshold")
+    d = d.where(F.abs(F.length("search") - F.length("matched_text")) <= bound).withColumn("_distance", F.call_function("levenshtein", "search", "matched_text", bound)).where("_distance >= 0")
+    # within the bound the distance is exact, and so is the score
+    d = d.withColumn("score", F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.col("_distance") / longest)).where("score >= threshold")
     best = Window.partitionBy(*key).orderBy(F.desc("score"), "window_lines", "start_line")
     d = d.withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
 
