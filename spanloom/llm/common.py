@@ -21,6 +21,9 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+ship(__name__)
+
+
 def slices(batches, rows: int = 512) -> Iterator:
     """Arrow batches in slices of a few rows, so that what Python holds of a batch at a time is small."""
     for b in batches:

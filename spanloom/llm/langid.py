@@ -65,11 +65,13 @@ def fit(rows: list[tuple[str, str]], alpha: float = 0.3, langs_of_script: float
             scripts[:, k] += np.bincount(SCRIPT[first], minlength=SCRIPTS)
 
     def weights(c: np.ndarray) -> np.ndarray:
+        if not n:
+            return np.zeros((c.shape[1], 0), np.float32)
         # a bucket nobody saw weighs nothing for any language
         p = np.log((c + alpha) / (c.sum(1, keepdims=True) + alpha * 4096))
         return np.where(c.sum(0) > 0, p - p.mean(0), 0).T.astype(np.float32).copy()
 
-    share = scripts / np.maximum(scripts.sum(0), 1)
+    share = scripts / np.maximum(scripts.sum(0, keepdims=True), 1)
     allowed = share >= langs_of_script
     allowed[~allowed.any(1)] = True  # a script nobody has narrows nothing
     most = max(range(n), key=lambda k: (sum(a == langs[k] for a, _ in rows), -k)) if n else 0
