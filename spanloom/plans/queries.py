@@ -137,7 +137,7 @@ def commit_patch_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_view("v_block_timeline"))
 def block_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    return timeline.block_timeline(pj.warehouse(spark, sf))
+    return pj.spelled(timeline.block_timeline(pj.timeline_tables(spark, sf)))
 
 
 @query(f"{SQL} SELECT range_id, seq, from_tag, to_tag, range_expr, commits, CAST(files_changed AS BIGINT) AS files_changed, CAST(hunks AS BIGINT) AS hunks, CAST(line_additions AS BIGINT) AS line_additions, CAST(line_deletions AS BIGINT) AS line_deletions, CAST(block_additions AS BIGINT) AS block_additions, CAST(block_deletions AS BIGINT) AS block_deletions FROM v_range_summary")

@@ -158,16 +158,19 @@ def commit_patch_summary(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+#: What the timeline joins to the events: table, keys, columns.
+TIMELINE = [
+    ("ranges", ["range_id"], ["seq", "from_tag", "to_tag"]), ("range_commits", ["range_id", "commit_sha"], ["ordinal"]), ("commits", ["commit_sha"], ["author_date", "subject"]),
+    ("patch_files", ["file_patch_id"], ["file_index", "old_path", "new_path", "change_type"]), ("hunks", ["hunk_id"], ["hunk_index"]), ("code_blocks", ["block_hash"], ["content AS block_content"]),
+]
+
+
 def block_timeline(t: dict[str, DataFrame]) -> DataFrame:
-    e = t["block_events"].withColumnRenamed("line_count", "event_lines")
-    out = (
-        e.join(t["ranges"], "range_id")
-        .join(t["range_commits"], ["range_id", "commit_sha"])
-        .join(t["commits"].select("commit_sha", "author_date", "subject"), "commit_sha")
-        .join(t["patch_files"].select("file_patch_id", "file_index", "old_path", "new_path", "change_type"), "file_patch_id")
-        .join(t["hunks"].select("hunk_id", "hunk_index"), "hunk_id")
-        .join(t["code_blocks"].select("block_hash", F.col("content").alias("block_content")), "block_hash")
-    )
+    """Every event with its range, commit, file, hunk and block. Of a table that ``t`` lacks, the events carry the columns already; keys are of any type."""
+    out = t["block_events"].withColumnRenamed("line_count", "event_lines")
+    for name, keys, columns in TIMELINE:
+        if name in t:
+            out = out.join(t[name].selectExpr(*keys, *columns), keys)
     return out.select(
         "event_id", F.col("seq").alias("range_seq"), "from_tag", "to_tag", F.col("ordinal").alias("commit_ordinal"), "commit_sha", "author_date", "subject", "file_index", "old_path", "new_path",
         "change_type", "hunk_index", "block_index", "op", "start_old", "start_new", F.col("event_lines").alias("line_count"), "block_hash", "block_content", "block_diff",

@@ -204,3 +204,30 @@ def test_align_newline(spark):
 
     d = spark.createDataFrame([("a\n\n", "x"), ("a\n", "x\n"), ("a", "x\n")], "t string, c string")
     assert [r[0] for r in d.select(align_newline(F.col("t"), F.col("c"))).collect()] == ["a\n", "a\n", "a\n"]
+
+
+def test_block_timeline_in_one_shuffle_of_events(spark, tmp_path):
+    """Repeated orders, null keys, tied items and blocks that are missing or repeated, against the SQL; the line items are read and shuffled once."""
+    from datetime import datetime
+
+    import duckdb
+
+    from spanloom.plans import queries  # noqa: F401
+    from spanloom.plans.registry import ORACLES, QUERIES
+
+    day = [datetime(1997, 12, 31), datetime(1998, 1, 1, 5), datetime(1998, 1, 1, 4), None, datetime(2001, 2, 3)]
+    orders = [(k, 1, day[k % 5], f"p{k % 3}") for k in range(20)] + [(1, 1, day[2], "again"), (1, 1, day[0], "other year"), (None, 1, day[1], "no key")]
+    items = [(k % 24 if k % 31 else None, (k * 7) % 10 if k % 29 else None, (k * 3) % 5 if k % 37 else None, k % 4, float(k % 6), 1.5 * (k % 2), 0.1, 0.2, "RAN"[k % 3], "OF"[k % 2], day[4]) for k in range(300)]
+    items += [(5, 2, 3, 1, float(k), 9.0, 0.1, 0.2, "N", "O", day[4]) for k in range(4)]
+    parts = [(k, f"name {k}", "b", "t", 1, 1.0) for k in [0, 1, 2, 3, 5, 6, 7, 7]]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(items, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "part"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    df = QUERIES["block_timeline"](spark, str(tmp_path))
+    got = sorted(tuple(map(str, r)) for r in df.collect())
+    assert got and got == sorted(tuple(map(str, r)) for r in con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES['block_timeline']})").fetchall())
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet [l_") == 1
