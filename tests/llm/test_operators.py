@@ -365,6 +365,34 @@ def test_template_families_by_brute_force(spark, free, changed):
     assert want > 100 and 0.95 * want <= sum(r.n_dropped for r in got) <= want
 
 
+def test_hot_buckets_lose_no_link(spark):
+    """Variants of one line, in buckets of far over 16 lines: as many lines go as by exact Jaccard of all pairs."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(2000)]
+    base = [rng.choice(words) for _ in range(30)]
+    texts = []
+    for _ in range(600):
+        t = list(base)
+        for _ in range(2):
+            t[rng.randrange(30)] = rng.choice(words)
+        texts.append(" ".join(t))
+    texts = list(dict.fromkeys(texts))
+    sets, parent = [runs(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 1.8 >= 0.8 * (len(sets[a]) + len(sets[b])) - 1e-9:
+                parent[find(a)] = find(b)
+    want = len(texts) - len({find(a) for a in range(len(texts))})
+    got = linededup.line_report(docs(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()
+    assert want > 100 and sum(r.n_dropped for r in got) == want
+
+
 def test_lines_of_repeated_and_odd_ids(spark):
     """Rows are known by id and text, whatever the id: nothing else of a row goes, and exact copies of a row do."""
     want = {"dup line here\nunique alpha text", "precious content\nother text line"}
