@@ -393,6 +393,37 @@ def test_hot_buckets_lose_no_link(spark):
     assert want > 100 and sum(r.n_dropped for r in got) == want
 
 
+def test_hot_buckets_shuffle_no_shingle_sets(spark):
+    """Long lines of one family, at the threshold and around it: as many go as by exact Jaccard of all pairs, and of their shingles only the first are shuffled."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    base, texts = [rng.choice(words) for _ in range(150)], []
+    for k in range(300):
+        t = list(base)
+        for _ in range(4 + k % 12):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append(" ".join(t))
+    sets, parent = [runs(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 1.8 >= 0.8 * (len(sets[a]) + len(sets[b])) - 1e-9:
+                parent[find(a)] = find(b)
+    want = len(texts) - len({find(a) for a in range(len(texts))})
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = linededup.line_report(docs(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    took = (written() - before) / sum(map(len, sets))
+    assert want > 50 and sum(r.n_dropped for r in got) == want
+    assert took < 20, took  # bytes a shingle
+
+
 def test_lines_of_repeated_and_odd_ids(spark):
     """Rows are known by id and text, whatever the id: nothing else of a row goes, and exact copies of a row do."""
     want = {"dup line here\nunique alpha text", "precious content\nother text line"}
