@@ -270,6 +270,45 @@ def test_components_of_a_path_and_a_star(spark):
     assert {comp[k] for k in range(1, 31)} == {0} and {comp[k] for k in range(101, 160)} == {100}
 
 
+def test_components_of_few_edges_shuffle_once(spark, monkeypatch):
+    """Few edges take a few tasks a round, whatever the number of shuffle partitions; many, by shuffles, have the same components."""
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(500, 540)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    launched = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalTasks()
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        before = launched()
+        few = {r.node: r.component for r in common.components(edges).collect()}
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        took = launched() - before
+        assert took < 800, took
+        monkeypatch.setattr(common, "ALONE", 0)
+        assert {r.node: r.component for r in common.components(edges).collect()} == few
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(few) > 250 and {few[k] for k in range(501, 541)} == {500}
+
+
+def test_verified_pairs_of_lines_with_repeated_runs(spark):
+    """The similarity is that of the sets, however often a line repeats a run."""
+    rng = random.Random(6)
+    texts = []
+    for k in range(40):
+        own = "".join(rng.choice("abcdefgh ") for _ in range(120))
+        t = own[: 40 + k] + "".join(rng.choice("abcdefgh ") for _ in range(k)) + own[40 + k :]
+        texts += [own + "x" * (20 + 10 * k), t + "x" * 400]
+    known = spark.createDataFrame([(k, t, *[0] * linededup.BANDS) for k, t in enumerate(texts)], "line_id bigint, line string, " + ", ".join(f"k{b} bigint" for b in range(linededup.BANDS)))
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1, 0) for k in range(40)], "a bigint, b bigint, least int")
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    want = {2 * k for k in range(40) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])}
+    assert {r.a for r in linededup.verified(pairs, known, 0.8).collect()} == want and 10 < len(want) < 40
+
+
 def test_line_dedup(spark, odd, none):
     base = "It was a bright cold day in April, and the clocks were striking thirteen all over the town again."
     near = base.replace("bright", "brigth")
